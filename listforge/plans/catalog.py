@@ -1,11 +1,38 @@
-"""Registered queries of the engine and their SQL equivalents."""
+"""Registered queries: every operator on the tables at hand, with equivalent SQL where SQL can express it.
+
+The tables hold no job listings, so listings are made of orders: an order's customer is the company, its nation the
+place, its priority the title, its date the closing day.  ``LISTINGS`` is the same table in SQL.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import contacts, dates, describe, numbers, text, urls
+from ..operators import lifecycle, quality, relevance, resolve, summary
+from ..operators import select as search
+from ..operators.expand import numbered_positions
+from ..operators.normalize import clean_details, normalize, stable_id
+from ..operators.schema import detail, detail_of
+from ..sources.feed import csv_rows
+
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
+TODAY = "1998-06-01"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Callable]:
@@ -14,3 +41,469 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+LISTINGS = """listings as (
+  select cast(o_orderkey as varchar) id, lower(c_mktsegment) source, o_orderpriority title, c_name company, n_name || ', Afghanistan' as location, c_mktsegment category,
+         cast(o_orderdate as date) closing_date, cast(o_orderdate as date) - cast(20 + o_orderkey % 10 as int) post_date,
+         case when o_orderstatus = 'F' then 'Closed' else 'open' end status, cast(o_orderkey % 14 as varchar) vacancies,
+         case o_orderkey % 5 when 0 then null when 1 then 'Negotiable' when 2 then cast(o_orderkey % 900 + 100 as varchar) || ' - ' || cast(o_orderkey % 900 + 200 as varchar) || ' USD per month' when 3 then 'as per company scale' else cast(o_orderkey % 90 + 10 as varchar) || ',000 AFN monthly' end salary
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
+
+
+def listings(spark: SparkSession, sf: str) -> DataFrame:
+    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    k = F.col("o_orderkey")
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    pay = (
+        F.when(k % 5 == 0, None)
+        .when(k % 5 == 1, "Negotiable")
+        .when(k % 5 == 2, F.concat((k % 900 + 100).cast("string"), F.lit(" - "), (k % 900 + 200).cast("string"), F.lit(" USD per month")))
+        .when(k % 5 == 3, "as per company scale")
+        .otherwise(F.concat((k % 90 + 10).cast("string"), F.lit(",000 AFN monthly")))
+    )
+    day = F.to_date("o_orderdate")
+    return joined.select(
+        k.cast("string").alias("id"), F.lower("c_mktsegment").alias("source"), F.col("o_orderpriority").alias("title"), F.col("c_name").alias("company"), F.concat("n_name", F.lit(", Afghanistan")).alias("location"), F.col("c_mktsegment").alias("category"),
+        day.alias("closing_date"), F.date_sub(day, (20 + k % 10).cast("int")).alias("post_date"), F.when(F.col("o_orderstatus") == "F", "Closed").otherwise("open").alias("status"), (k % 14).cast("string").alias("vacancies"), pay.alias("salary"),
+    )
+
+
+OPEN = f"lower(status) <> 'closed' and closing_date >= date '{TODAY}'"
+COUNT = "case when cast(vacancies as int) > 0 then cast(vacancies as int) end"
+KIND = "case when salary is null then 'undisclosed' when salary = 'Negotiable' then 'negotiable' when salary like 'as per%' then 'scale' else 'numeric' end"
+
+
+# --- filters, facets, orders ---------------------------------------------------------------------------------
+
+
+@query(f"with {LISTINGS} select id, closing_date from listings where {OPEN}")
+def open_listings(spark, sf):
+    return search.derived(listings(spark, sf), TODAY).where(search.is_open()).select("id", "closing_date")
+
+
+@query(f"with {LISTINGS} select id, closing_date - date '{TODAY}' as days from listings where {OPEN} and closing_date <= date '{TODAY}' + 3")
+def expiring_soon(spark, sf):
+    return search.select(listings(spark, sf), TODAY, filter="expiring").select("id", F.col("_days").cast("long").alias("days"))
+
+
+@query(f"with {LISTINGS} select id, date '{TODAY}' - post_date as age from listings where {OPEN} and date '{TODAY}' - post_date between 0 and 6")
+def recent_window(spark, sf):
+    return search.select(listings(spark, sf), TODAY, filter="recent").select("id", F.datediff("_today", "_posted").cast("long").alias("age"))
+
+
+@query("with last as (select user_id, max(ts) seen from events group by 1) select user_id, date '2024-01-30' - cast(seen + interval '4 hours 30 minutes' as date) > 2 as stale from last")
+def freshness_check(spark, sf):
+    last = table(spark, sf, "events").groupBy("user_id").agg(F.max("ts").alias("ts"))
+    seen = last.select("user_id", dates.instant_text(F.col("ts").cast("timestamp")).alias("last_seen_at"))
+    return search.derived(seen, "2024-01-30").select("user_id", search.needs_check(2).alias("stale"))
+
+
+@query("select cast(ts + interval '4 hours 30 minutes' as date) as day_kabul, count(*) n from events group by 1")
+def kabul_day_counts(spark, sf):
+    return table(spark, sf, "events").groupBy(dates.kabul_day(F.col("ts").cast("timestamp")).alias("day_kabul")).agg(F.count("*").alias("n"))
+
+
+@query("select doc_id from documents where contains(lower(text), 'the') and contains(lower(text), 'license')")
+def term_search(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("description"))
+    for c in ("title", "company", "location", "source", "category", "job_type"):
+        docs = docs.withColumn(c, F.lit(None).cast("string"))
+    return docs.withColumn("details", F.lit(None).cast("map<string,string>")).where(search.matches("  The LICENSE ")).select("doc_id")
+
+
+@query(f"with {LISTINGS} select id, company, {COUNT} as openings from listings where {OPEN} and lower(location) = 'nation_3, afghanistan' and {KIND} = 'numeric' and {COUNT} between 2 and 5")
+def facet_select(spark, sf):
+    return search.select(listings(spark, sf), TODAY, location="NATION_3", salary="numeric", vacancy="2-5").select("id", "company", F.col("_openings").cast("int").alias("openings"))
+
+
+@query("select case when p_size = 1 then '1' when p_size <= 5 then '2-5' when p_size <= 10 then '6-10' else '11+' end as bucket, count(*) n from part group by 1")
+def bucket_histogram(spark, sf):
+    count = numbers.vacancy_count(F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("positions")))
+    return table(spark, sf, "part").groupBy(numbers.vacancy_bucket(count).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {LISTINGS}, o as (select * from listings where {OPEN}) select count(distinct company) companies, count(distinct location) locations, count(*) filter ({KIND} <> 'undisclosed') listed, count(*) filter ({KIND} = 'numeric') comparable, count(*) filter ({KIND} = 'scale') as scale, count(*) filter ({KIND} = 'negotiable') negotiable, count({COUNT}) vacancies_listed, count(*) filter ({COUNT} = 1) single, count(*) filter ({COUNT} between 2 and 5) two_to_five, count(*) filter ({COUNT} >= 11) eleven_plus, (select string_agg(v, '|' order by v) from (select distinct split_part(location, ',', 1) v from o)) as places from o")
+def facet_counts(spark, sf):
+    f = search.facets(listings(spark, sf), TODAY)
+    s, v = (lambda n: F.col(f"salary.{n}").alias(n)), (lambda n, a=None: F.col(f"vacancies.{n}").alias(a or n))
+    return f.select(F.size("companies").cast("long").alias("companies"), F.size("locations").cast("long").alias("locations"), s("listed"), s("comparable"), s("scale"), s("negotiable"), v("listed", "vacancies_listed"), v("single"), v("two_to_five"), v("eleven_plus"), F.array_join(F.array_sort("locations"), "|").alias("places"))
+
+
+@query("select distinct p_type as facet_value from part where p_type <> ''")
+def facet_values(spark, sf):
+    return table(spark, sf, "part").select(text.or_null(F.col("p_type")).alias("facet_value")).where("facet_value is not null").distinct()
+
+
+@query(f"with {LISTINGS} select count(*) total, count(*) filter (closing_date <= date '{TODAY}' + 3) expiring, count(*) filter (date '{TODAY}' - post_date between 0 and 6) recent from listings where {OPEN}")
+def view_stats(spark, sf):
+    return search.stats(listings(spark, sf), TODAY)
+
+
+@query("with d as (select source as name, n_chars from documents) select name, count(*) as n, min(n_chars) shortest, max(n_chars) longest from d group by 1")
+def source_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+@query("select event_type as name, count(*) as count, min(ts) oldest_seen_at, max(ts) latest_seen_at from events group by 1")
+def source_summary(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.lit(None).cast("string").alias("last_seen_at"), F.col("ts").cast("timestamp").alias("scraped_at"), F.lit(None).cast("string").alias("first_seen_at"))
+    out = summary.source_summary(e)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("oldest_seen_at", "latest_seen_at")})
+
+
+@query("select count(distinct lower(trim(source))) as boards from documents")
+def distinct_boards(spark, sf):
+    return search.boards(table(spark, sf, "documents").select("source", F.lit(None).cast("array<struct<source:string,url:string>>").alias("also_found_on")))
+
+
+@query(f"with {LISTINGS} select id, closing_date, row_number() over (order by closing_date, post_date desc, title, id) place from listings where {OPEN} qualify place <= 25")
+def publish_order_topk(spark, sf):
+    rows = search.derived(listings(spark, sf), TODAY).where(search.is_open())
+    order = [*search.deadline_order(), F.col("id")]
+    top = rows.orderBy(*order).limit(25)  # a top-k, so that numbering sees 25 rows
+    return top.select("id", "closing_date", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+@query(f"with {LISTINGS}, o as (select *, {COUNT} n from listings where {OPEN}) select 'newest' as mode, id, row_number() over (order by post_date desc, closing_date, title, id) place from o qualify place <= 12 union all select 'vacancies', id, row_number() over (order by n desc nulls last, closing_date, post_date desc, title, id) place from o qualify place <= 12 union all select 'company', id, row_number() over (order by lower(company), closing_date, post_date desc, title, id) place from o qualify place <= 12")
+def multi_sort_modes(spark, sf):
+    rows = search.derived(listings(spark, sf), TODAY).where(search.is_open())
+    out = None
+    for mode in ("newest", "vacancies", "company"):
+        order = [*search.order_by(rows, mode), F.col("id")]
+        top = search.page(rows.orderBy(*order), 0).unionByName(search.page(rows.orderBy(*order), search.PAGE)).limit(12)
+        part = top.select(F.lit(mode).alias("mode"), "id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("with r as (select c_mktsegment segment, o_orderkey, row_number() over (partition by c_mktsegment order by o_totalprice desc, o_orderkey) rn, count(*) over (partition by c_mktsegment) n from orders join customer on o_custkey = c_custkey) select segment, o_orderkey, cast(rn as int) as rn, greatest(n - 5, 0) as more from r where rn <= 5")
+def top_n_per_group(spark, sf):
+    joined = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("segment"), "o_orderkey", "o_totalprice")
+    order = Window.partitionBy("segment").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    top = joined.withColumn("rn", F.row_number().over(order)).where("rn <= 5")  # Spark keeps five rows a group before the shuffle
+    size = joined.groupBy("segment").agg(F.count("*").alias("n"))
+    return top.join(size, "segment").select("segment", "o_orderkey", "rn", F.greatest(F.col("n") - 5, F.lit(0).cast("long")).alias("more"))
+
+
+@query(f"with {LISTINGS} select (select count(*) from listings where id = '7') as by_id, (select max(closing_date) from listings) as latest")
+def deep_link(spark, sf):
+    rows = listings(spark, sf).withColumn("url", F.lit(None).cast("string"))
+    return search.by_key(rows, "7").agg(F.count("*").alias("by_id")).crossJoin(rows.agg(F.max("closing_date").alias("latest")))
+
+
+# --- joins, sets, state --------------------------------------------------------------------------------------
+
+
+@query("select distinct user_id from events a where ts >= timestamp '2024-01-16' and not exists (select 1 from events b where b.ts < timestamp '2024-01-16' and b.user_id = a.user_id and b.event_type = a.event_type)")
+def new_rows_antijoin(spark, sf):
+    e = table(spark, sf, "events")
+    rows = lambda d: d.select(F.concat_ws(":", "user_id", "event_type").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("array<struct<source:string,url:string>>").alias("also_found_on"), "user_id").distinct()
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    at = F.col("ts").cast("timestamp_ntz")
+    return summary.new_rows(rows(e.where(at >= cut)), rows(e.where(at < cut))).select("user_id").distinct()
+
+
+@query("select row_number() over (order by o_totalprice desc, o_orderkey) - 1 as position, o_orderkey, c_name from orders join customer on o_custkey = c_custkey qualify position < 20")
+def hydrate_ids(spark, sf):
+    o = table(spark, sf, "orders")
+    top = o.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_totalprice", F.col("o_orderkey").cast("string").alias("id"))
+    one = top.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), F.col("id").cast("long").alias("k")))), lambda x: x["k"].cast("string")).alias("ids"))
+    feed = o.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", "c_name")
+    return summary.hydrate(one, feed, "ids").select(F.col("position").cast("long").alias("position"), "o_orderkey", "c_name")
+
+
+@query("select 'lineitem without order' as check_name, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'label without document', count(*) from labels where doc_id not in (select doc_id from documents) union all select 'nation counts differ', count(*) from (select n_nationkey k, count(*) c from nation join customer on n_nationkey = c_nationkey group by 1) a full join (select n_nationkey k, count(*) c from nation join supplier on n_nationkey = s_nationkey group by 1) b using (k) where coalesce(a.c, 0) <> coalesce(b.c, 0)")
+def ref_integrity(spark, sf):
+    l, o, d, lab, c, s = (table(spark, sf, t) for t in ("lineitem", "orders", "documents", "labels", "customer", "supplier"))
+    lost = lambda rows, name: rows.agg(F.lit(name).alias("check_name"), F.count("*").alias("n"))
+    a = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("x"))
+    b = s.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("y"))
+    differ = a.join(b, "k", "full_outer").where("coalesce(x, 0) <> coalesce(y, 0)")
+    out = lost(l.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), "lineitem without order")
+    return out.unionByName(lost(lab.join(d, "doc_id", "left_anti"), "label without document")).unionByName(lost(differ, "nation counts differ"))
+
+
+def _run(spark, sf, first: str, last: str, at: str) -> DataFrame:
+    e = table(spark, sf, "events").where(F.col("ts").cast("timestamp_ntz").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+    url = F.concat(F.lit("https://x.example/"), F.col("user_id").cast("string"))
+    raw = e.select(F.col("event_type").alias("source"), url.alias("url"), url.alias("source_url"), F.concat_ws(" ", "event_type", "user_id").alias("title")).distinct()
+    return raw.withColumns({"id": stable_id(F.col("source"), F.col("url")), "scraped_at": F.lit(at)})
+
+
+@query("""with p as (select distinct event_type source, user_id from events where ts between timestamp '2024-01-01' and timestamp '2024-01-03'), f as (select distinct event_type source, user_id from events where ts between timestamp '2024-01-04' and timestamp '2024-01-05'),
+st as (select source, row_number() over (order by source) % 3 as k from (select distinct event_type source from events)), a as (select f.source, 'active' s, 0 as m, count(*) n from f group by 1 union all select p.source, 'active', 0, count(*) from p join f using (source, user_id) group by 1
+union all select p.source, case st.k when 0 then 'unconfirmed' when 1 then 'source_unavailable' else 'unmanaged' end, case st.k when 0 then 1 else 0 end, count(*) from p anti join f using (source, user_id) join st using (source) group by 1, 2, 3)
+select source, s as lifecycle_status, cast(m as int) as missed_runs, cast(sum(n) as bigint) as n from a group by 1, 2, 3""")
+def lifecycle_reconcile(spark, sf):
+    old = normalize(_run(spark, sf, "2024-01-01", "2024-01-03", "2024-01-03T00:00:00Z"), "2024-01-03T00:00:00Z")
+    new = normalize(_run(spark, sf, "2024-01-04", "2024-01-05", "2024-01-05T00:00:00Z"), "2024-01-05T00:00:00Z")
+    kinds = table(spark, sf, "events").select(F.col("event_type").alias("source")).distinct()
+    k = F.row_number().over(Window.orderBy("source")) % 3
+    status = kinds.withColumn("k", k).select("source", F.when(F.col("k") == 0, "healthy").when(F.col("k") == 1, "failed").otherwise("skipped").alias("status"))
+    out = lifecycle.reconcile(old, new, status, "2024-01-05T00:00:00Z")
+    return out.groupBy("source", "lifecycle_status", "missed_runs").agg(F.count("*").alias("n"))
+
+
+@query("with a as (select event_type source, count(*) filter (ts < timestamp '2024-01-16') previous, count(*) filter (ts >= timestamp '2024-01-16') as current from events group by 1), b as (select *, row_number() over (order by source) k from a) select source, current, previous, case when k = 1 then 'failed' when k = 2 then 'partial' when previous >= 8 and current < greatest(1, ceil(previous * 0.2)) then 'major_drop' else 'healthy' end as status from b")
+def source_health(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    cut = F.lit("2024-01-16").cast("timestamp_ntz")
+    k = F.row_number().over(Window.orderBy("source"))
+    runs = e.select("source").distinct().withColumn("k", k).select("source", (F.col("k") != 1).alias("ok"), (F.col("k") == 2).alias("partial"))
+    return lifecycle.health(runs, e.where(F.col("ts") >= cut), e.where(F.col("ts") < cut)).select("source", "current", "previous", "status")
+
+
+@query("select user_id, min(ts) first_seen, max(ts) last_seen, bool_or(event_type = 'purchase') any_purchase, min(value) least_value from events group by 1")
+def first_seen_last_seen(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp_ntz").alias("first_seen"), F.max("ts").cast("timestamp_ntz").alias("last_seen"), F.bool_or(F.col("event_type") == "purchase").alias("any_purchase"), F.min("value").alias("least_value"))
+
+
+@query("select role, text, min(conv_id) as conv_id from conversations group by 1, 2")
+def first_occurrence(spark, sf):
+    order = Window.partitionBy("role", "text").orderBy("conv_id", "turn")
+    return table(spark, sf, "conversations").withColumn("n", F.row_number().over(order)).where("n = 1").select("role", "text", "conv_id")
+
+
+@query("with p as (select event_id // 100 as page, user_id % 40 as item from events), first as (select item, min(page) page from p group by 1), n as (select page, count(*) as fresh from first group by 1) select distinct p.page from p left join n using (page) where n.fresh is null or page in (select page from (select page, min(page) over (partition by sig) m from (select page, string_agg(distinct cast(item as varchar), ',' order by cast(item as varchar)) sig from p group by 1)) where m < page)")
+def repeated_page_check(spark, sf):
+    from ..sources.html import stalled_pages
+
+    return stalled_pages(table(spark, sf, "events").select(F.floor(F.col("event_id") / 100).cast("long").alias("page"), F.col("event_id").alias("position"), (F.col("user_id") % 40).cast("string").alias("url")))
+
+
+@query("select user_id, arg_max(event_type, (ts, event_id)) as last_type, min(event_id) as first_event from events group by 1")
+def last_write_wins(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.min("event_id").alias("first_event"))
+
+
+@query("select o_custkey, max(cast(o_orderdate as date)) as latest_day, arg_min(o_orderkey, (-epoch(o_orderdate), o_orderkey)) as latest_key, min(cast(o_orderdate as date)) as earliest_day, arg_min(o_orderkey, (epoch(o_orderdate), o_orderkey)) as earliest_key from orders group by 1")
+def best_date_per_cluster(spark, sf):
+    at = F.to_date("o_orderdate")
+    rank = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(at).alias("latest_day"), F.min_by("o_orderkey", F.struct(-rank, "o_orderkey")).alias("latest_key"), F.min(at).alias("earliest_day"), F.min_by("o_orderkey", F.struct(rank, "o_orderkey")).alias("earliest_key"))
+
+
+@query("with k as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents) select min(doc_id) as doc_id, count(*) - 1 as removed from k group by t")
+def exact_dedupe(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.sha2(F.lower(text.squeeze(F.col("text"))), 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("removed")).drop("k")
+
+
+@query()
+def entity_resolution(spark, sf):
+    """Pages as listings: same url but for tracking, then same title and host."""
+    p = table(spark, sf, "pages")
+    title = F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1)
+    host = F.regexp_extract("url", r"://([^/]+)", 1)
+    raw = p.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.regexp_extract(host, r"\.(\w+)$", 1).alias("source"), "url", title.alias("title"), host.alias("company"), F.lit("Kabul").alias("location"), F.lit("2026-01-01").alias("closing_date"))
+    out = resolve.resolve(normalize(raw, "2026-01-01T00:00:00Z"), ["com", "org", "net"])
+    return out.select("id", "source", "url", "merged.*")
+
+
+# --- texts ---------------------------------------------------------------------------------------------------
+
+
+@query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as squeezed, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as n from documents")
+def normalize_text(spark, sf):
+    s = text.squeeze(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", s.alias("squeezed"), F.length(s).cast("long").alias("n"))
+
+
+@query("select doc_id, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g')) as folded from documents where not regexp_matches(lower(text), 'urgent|new|announced|position title')")
+def comparable_text(spark, sf):
+    docs = table(spark, sf, "documents").where(~F.lower("text").rlike("urgent|new|announced|position title"))
+    return docs.select("doc_id", text.comparable(F.col("text")).alias("folded"))
+
+
+@query("with e as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}'), lambda x: lower(x)))) as email from documents) select doc_id, email from e")
+def email_extract(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email")).where(text.is_email(F.col("email")))
+
+
+@query()
+def phone_extract(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(contacts.phones(F.concat(F.lit("tel 0700123456, "), F.col("text")))).alias("phone"))
+
+
+_TAGS = "'<[^>]+>', ' ', 'g')"
+_HTML = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>', ' ', 'gis'), '<style.*?</style>', ' ', 'gis'), '<br\\s*/?>', chr(10), 'gi'), '</(?:p|li|h[1-6]|div|tr|table|ul|ol)>', chr(10), 'gi'), {_TAGS}"
+
+
+@query(f"with t as (select page_id, replace(replace(replace(replace(replace(replace({_HTML}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''') as t from pages) select page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as lines from t")
+def html_to_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.html_lines(F.col("html")).alias("lines"))
+
+
+_CANON = "regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '\\?(utm_[^&]*|ref=[^&]*)$|&(utm_[^&=]*|ref|source)=[^&]*', ''), '/+(\\?|$)', '\\1')"
+
+
+@query(f"select page_id, {_CANON} as canonical from pages")
+def url_canonical(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(f"select {_CANON} as canonical, min(page_id) as page_id, count(*) as n from pages group by 1")
+def url_dedupe(spark, sf):
+    return table(spark, sf, "pages").groupBy(urls.canonical_url(F.col("url")).alias("canonical")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+@query("select page_id, cast(list_max(list_transform(regexp_extract_all(url || ' ' || html, '[?&]page=(\\d{1,9})', 1), lambda x: cast(x as int))) as int) as last_page from pages")
+def page_count(spark, sf):
+    return table(spark, sf, "pages").select("page_id", urls.page_number(F.concat_ws(" ", "url", "html")).alias("last_page"))
+
+
+@query("with l as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as href from pages) select page_id, count(*) as links, count(distinct href) as targets from l group by 1")
+def link_extract(spark, sf):
+    links = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"))
+
+
+@query()
+def listing_cards(spark, sf):
+    """Cards of the pages' menus, through a board adapter."""
+    from ..sources.html import Adapter, listing_rows
+
+    board = Adapter(source="menu", base="https://board.example/", cards="nav li", link="a[href]")
+    return listing_rows(table(spark, sf, "pages").select("page_id", "html"), board).select("page_id", "position", "url", "title")
+
+
+@query("select doc_id, cast(least(3, cast(contains(' ' || t || ' ', ' license ') as int) + cast(contains(' ' || t || ' ', ' the ') as int) + cast(contains(' ' || t || ' ', ' und ') as int)) * 10 as int) as score from (select doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) t from documents)")
+def phrase_score(spark, sf):
+    t = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+    return table(spark, sf, "documents").select("doc_id", (F.least(F.lit(3), F.size(text.phrases_in(t, ["license", "the", "und"]))) * 10).cast("int").alias("score"))
+
+
+FLAG_WORDS = ["license", "copyright", "released under", "licensed under"]
+
+
+@query()
+def relevance_audit(spark, sf):
+    """Decisions of the classifier, with a lexicon of its own, against labels."""
+    lex = relevance.Lexicon(strong=FLAG_WORDS, support=["the", "die", "que"], body_role=["mit license", "public license"])
+    docs = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", -1).alias("title"), F.col("text").alias("description"))
+    out = relevance.assess(docs, lex).join(table(spark, sf, "labels"), "doc_id")
+    return out.groupBy("relevance.decision", "quality").agg(F.count("*").alias("n"))
+
+
+@query("with c as (select doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[\\r\\n;!?•]+|\\.(?:\\s+|$)'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) as clause from documents where not regexp_matches(text, '(?i)\\b[bm]\\s*\\.\\s*(s|sc)\\s*\\.')) select doc_id, count(*) as clauses from c group by 1")
+def clause_split(spark, sf):
+    docs = table(spark, sf, "documents").where(~F.col("text").rlike(r"(?i)\b[bm]\s*\.\s*(s|sc)\s*\."))
+    return docs.select("doc_id", F.size(text.clauses(F.col("text"))).cast("long").alias("clauses")).where("clauses > 0")
+
+
+@query()
+def bundle_expand(spark, sf):
+    """Two numbered positions put around each document's text, split again."""
+    body = F.concat(F.lit("1. First officer - 2 positions\n"), F.col("text"), F.lit("\n2) Second officer\nVacancies: 3\nJob requirements\nNone"))
+    roles = table(spark, sf, "documents").select("doc_id", F.explode(numbered_positions(body)).alias("r"))
+    return roles.select("doc_id", "r.number", "r.title", "r.openings", F.length("r.text").alias("n"))
+
+
+@query("select doc_id, regexp_extract(text, '\\S+') as first_word from documents")
+def first_words(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"\S+", 0).alias("first_word"))
+
+
+@query()
+def describe_blocks(spark, sf):
+    b = table(spark, sf, "documents").select("doc_id", F.explode(describe.description_blocks(F.col("text"))).alias("b"))
+    return b.groupBy("doc_id", "b.type").agg(F.count("*").alias("n"))
+
+
+# --- scalars -------------------------------------------------------------------------------------------------
+
+
+
+@query("select o_orderkey, case when year(o_orderdate) >= 2000 then cast(o_orderdate as date) end as closing, cast(o_orderdate as date) as shown from orders")
+def date_parse(spark, sf):
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    raw = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "d MMMM yyyy")).when(k == 2, F.date_format(d, "MMM d, yyyy")).otherwise(F.date_format(d, "dd/MM/yyyy"))
+    return table(spark, sf, "orders").select("o_orderkey", dates.closing_day(F.concat(F.lit("by "), raw)).alias("closing"), dates.shown_day(raw).alias("shown"))
+
+
+@query(f"with {LISTINGS} select id, {KIND} as kind, cast(case when {KIND} = 'numeric' then case when salary like '%USD%' then cast(id as int) % 900 + 100 else (cast(id as int) % 90 + 10) * 1000 end end as double) as minimum, cast(case when {KIND} = 'numeric' then case when salary like '%USD%' then cast(id as int) % 900 + 200 else (cast(id as int) % 90 + 10) * 1000 end end as double) as maximum, case when {KIND} = 'numeric' then case when salary like '%USD%' then 'USD' else 'AFN' end end as currency from listings")
+def salary_parse(spark, sf):
+    s = listings(spark, sf).select("id", numbers.salary_text(F.col("salary")).alias("s"))
+    pay = s.withColumn("pay", numbers.comparable_salary(F.col("s")))
+    return pay.select("id", numbers.salary_kind(F.col("s"), F.col("pay")).alias("kind"), "pay.minimum", "pay.maximum", "pay.currency")
+
+
+@query("select p_partkey, case p_partkey % 3 when 0 then p_size when 1 then p_size else 12 end as n from part")
+def vacancy_parse(spark, sf):
+    k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    raw = F.when(k == 0, F.concat(F.lit("No. of jobs: "), size)).when(k == 1, F.concat(size, F.lit(" (several) positions"))).otherwise("a Twelve openings")
+    return table(spark, sf, "part").select("p_partkey", numbers.vacancy_count(raw).cast("int").alias("n"))
+
+
+@query("with s as (select p_partkey, unnest(list_distinct(list_filter(list_transform(string_split_regex(p_name || '; ' || p_brand || ' | ' || p_brand, '[,;|]'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> ''))) as place from part) select place, count(*) as n from s group by 1")
+def location_split(spark, sf):
+    parts = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("; "), "p_brand", F.lit(" | "), "p_brand", F.lit(", Afghanistan")).alias("location"))
+    return search.derived(parts, TODAY).select(F.explode("_places").alias("place")).groupBy("place").agg(F.count("*").alias("n"))
+
+
+@query("select p_partkey, case p_partkey % 5 when 0 then 'Software & Web' when 1 then 'Network & Telecom' when 2 then 'IT Leadership' when 3 then 'IT Operations' else 'Other Technology' end as role from part")
+def role_taxonomy(spark, sf):
+    k = F.col("p_partkey") % 5
+    title = F.when(k == 0, "Senior Web Developer").when(k == 1, "Fiber Network Technician").when(k == 2, "Head of IT").when(k == 3, "Officer").otherwise("Officer")
+    rows = table(spark, sf, "part").select("p_partkey", title.alias("title"), F.when(k == 3, "runs the help desk").alias("description"))
+    return search.derived(rows, TODAY).select("p_partkey", F.col("_role").alias("role"))
+
+
+@query("select event_id, json_extract_string(props, '$.k') as k from events")
+def details_lookup(spark, sf):
+    m = F.from_json("props", "map<string,string>")
+    return table(spark, sf, "events").select("event_id", F.coalesce(detail(clean_details(m), "(?i)^K$"), detail_of(m, "k")).alias("k"))
+
+
+@query("select o_orderkey, substr(sha1(o_orderstatus || '|' || cast(o_custkey as varchar) || '|' || o_orderpriority), 1, 16) as id from orders")
+def stable_ids(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", stable_id(F.col("o_orderstatus"), F.col("o_custkey"), F.col("o_orderpriority")).alias("id"))
+
+
+@query("select c_custkey, cast((c_name <> '')::int + (c_mktsegment <> '')::int + (c_acctbal > 0)::int as int) as filled from customer")
+def completeness_score(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", sum((quality.filled(c).cast("int") for c in (F.col("c_name"), F.col("c_mktsegment"), F.when(F.col("c_acctbal") > 0, "y"))), F.lit(0)).alias("filled"))
+
+
+@query("select 'price is not positive' as rule, 'error' as severity, count(*) as n from orders where o_totalprice <= 1000 having count(*) > 0 union all select 'priority is urgent', 'warning', count(*) from orders where o_orderpriority like '1%' having count(*) > 0 union all select 'order before 1996', 'warning', count(*) from orders where year(o_orderdate) < 1996 having count(*) > 0")
+def dq_violations(spark, sf):
+    rules = [("price is not positive", "error", F.col("o_totalprice") > 1000), ("priority is urgent", "warning", ~F.col("o_orderpriority").startswith("1")), ("order before 1996", "warning", F.year("o_orderdate") >= 1996)]
+    return quality.check_rows(table(spark, sf, "orders"), rules, "o_orderkey").groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query("with a as (select event_type, count(*) filter (ts < timestamp '2024-01-16') base, count(*) filter (ts >= timestamp '2024-01-16') as current from events group by 1) select event_type, cast(ceil(base * 0.65) as bigint) as least_allowed, current, current >= ceil(base * 0.65) as passes from a")
+def baseline_gate(spark, sf):
+    cut, at = F.lit("2024-01-16").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")
+    a = table(spark, sf, "events").groupBy("event_type").agg(F.count_if(at < cut).alias("base"), F.count_if(at >= cut).alias("current"))
+    least = quality.least_allowed(F.col("base"))
+    return a.select("event_type", least.cast("long").alias("least_allowed"), "current", (F.col("current") >= least).alias("passes"))
+
+
+@query("select doc_id, case when regexp_matches(c, '[,\"\\n]') then '\"' || replace(c, '\"', '\"\"') || '\"' else c end as cell from (select doc_id, case when regexp_matches(text, '^[=+\\-@\\t\\r]') then '''' || text else text end as c from documents)")
+def csv_escape(spark, sf):
+    return csv_rows(table(spark, sf, "documents").withColumn("cell", F.col("text")), ["doc_id", "cell"]).select(F.col("doc_id").cast("long").alias("doc_id"), "cell")
+
+
+@query("select conv_id, turn, 'mailto:' || role || '@x.example?subject=' || replace(url_encode(left(text, 20)), '+', '%20') as link from conversations where regexp_matches(left(text, 20), '^[A-Za-z ]+$')")
+def mail_links(spark, sf):
+    short = F.substring("text", 1, 20)
+    rows = table(spark, sf, "conversations").where(short.rlike("^[A-Za-z ]+$"))
+    return rows.select("conv_id", "turn", urls.mail_link(F.concat("role", F.lit("@x.example")), short, F.lit(True)).alias("link"))
+
+
+@query("""with d as (select doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from documents), s as (select doc_id, source, t, 10 * cast(contains(lower(t), 'license') as int) + cast(length(t) > 1000 as int) as score from d),
+k as (select min(doc_id) as doc_id, t, max(score) as score from s where score > 0 group by t) select doc_id, cast(score as int) as score, row_number() over (order by score desc, doc_id) as place from k qualify place <= 100""")
+def flagship(spark, sf):
+    """Score, keep, deduplicate by normalised text, order: the engine in one query."""
+    t = text.squeeze(F.col("text"))
+    scored = table(spark, sf, "documents").select("doc_id", (10 * F.contains(F.lower(t), F.lit("license")).cast("int") + (F.length(t) > 1000).cast("int")).alias("score"), F.sha2(t, 256).alias("k")).where("score > 0")
+    kept = scored.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("score").alias("score"))
+    top = kept.orderBy(F.desc("score"), "doc_id").limit(100)
+    return top.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long").alias("place"))
+
+
+FLAGSHIP = flagship
