@@ -2,19 +2,25 @@
 
 Two documents link when the Jaccard similarity of their shingle sets is at least 0.8 (9 * overlap >=
 4 * (size + size)).  A set of ``s`` shingles can link only with sets it shares ceil(0.8 s) with, which
-poses the T-occurrence problem over the inverted lists of its shingles.  It is solved in three steps:
-
-1. ``shared_counts``: by hash order, the first p(s) = s - ceil(0.8 s) + l(s) shingles of two linked sets
-   have at least min(l, l) in common (l(s) = 1 + s // 10).  Every set posts only these; a set with
-   fewer than that of its posted shingles in any other set's postings links with nothing and leaves.
-   Chunks of documents count what they share among themselves and post each shingle once, so that a
-   shingle of a third of all documents costs a list one entry a chunk.
-2. Among the sets left, lists are ordered short to long.  The l - 1 longest lists of each set are
-   skipped (a linked set must also stand in one of the others): candidates come from the short ones.
-   First each set is searched against one pivot, which joins large groups of near copies into
-   components along G edges instead of G * G; then against every candidate of another component.
-3. ``divide_skip`` searches a block of candidates for a query: the short inverted lists are merged
-   with a heap, counts that can still reach T are completed by binary probes of the long lists.
+poses the T-occurrence problem over the inverted lists of its shingles.  It is solved in steps:
+
+1. By hash order, the first p(s) = s - ceil(0.8 s) + l(s) shingles of two linked sets have at least
+   min(l, l) in common (l(s) = 1 + s // 10).  Every set posts only these; a set with fewer than that of its
+   posted shingles in any other set's postings links with nothing and leaves (``shared_counts``).  Chunks
+   of documents count what they share among themselves and post each shingle once, so that a shingle of a
+   third of all documents costs a list one entry a chunk.
+2. The sets left count all their shingles in the same way: ``r``, those that another set has, bounds every
+   overlap.  Sets with r < ceil(0.8 s) leave.
+3. Of the rest, lists are ordered short to long, and the l - 1 longest lists of each set are skipped: a
+   linked set also stands in one of the others.  Each set is first searched from the most central set it
+   shares such a list with (the one with the highest r / s), which joins large groups of near copies into
+   components along G edges instead of G * G.
+4. Components are cut into chunks of about ``BLOCK`` sets, each an index of its own.  A set asks every chunk
+   of another component that it shares a short list with and whose sizes leave a link possible, so what
+   moves grows with the sets and the chunks asked, not with pairs.
+5. ``divide_skip`` searches a chunk's inverted lists for a query: the short ones are merged (with a heap, or
+   by sorting where they are long in sum), and counts that can still reach T are completed by binary probes
+   of the long ones.
 
 Candidates of the same component need no search, since only components are returned.  No list, group
 or candidate count is capped.  Sets are named by 64-bit digests and shingles by 64-bit hashes.
@@ -27,7 +33,6 @@ doc_id; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from heapq import merge
 from itertools import groupby
 from math import log2
@@ -39,17 +44,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.components import components
-from .common import bounded, mix64, save, shingle_set, table
+from .common import bounded, drop_path, mix64, save, shingle_set, table
 
 SHINGLE = 5
 #: Postings that a chunk of documents, and a bucket of lists, hold about.
 CHUNK, BUCKET = 1_000_000, 400_000
-#: Candidates searched together for one query.
-BLOCK = 256
+#: Sets that an index searched at once holds about.
+BLOCK = 512
 #: Rows (of one or two longs) up to which a table is broadcast; beyond it the join is shuffled.
 SMALL = 500_000
-#: Weight of a binary probe against a heap step when choosing how many lists are long.
+#: Weight of a binary probe against a step of the merge when choosing how many lists are long.
 MU = 0.0085
+#: Entries of short lists up to which they are merged with a heap.
+HEAP = 2000
 
 
 def least_overlap(s):
@@ -102,6 +109,7 @@ def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
     """(cid, shared): at least as many as the posted shingles of the set that another set posts too."""
     bits = max(1, (buckets - 1).bit_length())
+    parts = min(4000, buckets // 8 + 1)
 
     def emit(refs: list, blobs: list, chunk: int):
         keep = np.unique(np.array(refs, np.int64), return_index=True)[1]
@@ -132,133 +140,169 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
         if refs:
             yield emit(refs, blobs, chunk)
 
-    def count(batches):
-        """Rows arrive sorted by bucket."""
-        now, xs, ys = None, [], []
-        for batch in batches:
-            for b, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                if b != now:
-                    yield from close(now, xs, ys)
-                    now, xs, ys = b, [], []
-                if b >= 1 << bits:
-                    yield out(np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64))
-                else:
-                    xs.append(np.frombuffer(x.as_py(), np.uint64)), ys.append(np.frombuffer(y.as_py(), np.int64))
-        yield from close(now, xs, ys)
-
-    def out(cid, shared):
-        return pa.record_batch([pa.array(cid, pa.int64()), pa.array(shared, pa.int64())], ["cid", "shared"])
-
-    def close(now, xs, ys):
-        if not xs:
-            return
+    def packed(cid, shared):
+        """Counts as one row for each of the tables' parts, so that they are added up where they meet."""
+        part = mix64(cid.view(np.uint64)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        cid, shared, part = cid[order], shared[order], part[order]
+        starts, sizes = _runs(part) if len(part) else (np.empty(0, np.int64),) * 2
+        cut = [slice(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        return pa.record_batch([pa.array(part[starts].astype(np.int64)), pa.array([cid[c].tobytes() for c in cut], pa.binary()), pa.array([shared[c].tobytes() for c in cut], pa.binary())], ["part", "x", "y"])
+
+    def close(xs, ys):
         token, ref = np.concatenate(xs), np.concatenate(ys)
         order = np.argsort(token, kind="stable")
         token, ref = token[order], ref[order]
         starts, sizes = _runs(token)
         differ = np.minimum.reduceat(ref, starts) != np.maximum.reduceat(ref, starts)
-        yield out(*np.unique(ref[np.repeat(differ, sizes) & (ref != 0)], return_counts=True))
-
-    lists = sets.where("cid is not null").select("cid", "tokens").mapInArrow(post, "bucket long, x binary, y binary")
-    parts = lists.repartition(max(1, min(buckets, 4000)), "bucket").sortWithinPartitions("bucket")
-    return parts.mapInArrow(count, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
+        return packed(*np.unique(ref[np.repeat(differ, sizes) & (ref != 0)], return_counts=True))
 
+    def count(batches):
+        for (bucket,), rows in _sorted_runs(batches):
+            if bucket >= 1 << bits:
+                for x, y in rows:
+                    yield packed(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64))
+            else:
+                yield close([np.frombuffer(x, np.uint64) for x, _ in rows], [np.frombuffer(y, np.int64) for _, y in rows])
+
+    def total(batches):
+        for _, rows in _sorted_runs(batches):
+            cid, at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x, _ in rows]), return_inverse=True)
+            shared = np.bincount(at, weights=np.concatenate([np.frombuffer(y, np.int64) for _, y in rows])).astype(np.int64)
+            yield pa.record_batch([pa.array(cid), pa.array(shared)], ["cid", "shared"])
 
-def divide_skip(query: np.ndarray, lists: list[list[int]], sizes: list[int], long_weight: float = MU) -> list[tuple[int, int]]:
-    """(candidate, overlap) of every candidate that stands in at least ceil(0.8 * len(query)) of the lists.
-
-    ``lists``: the sorted inverted list of each query shingle that any candidate has; ``sizes``: of the candidates' sets.
-    """
-    t = least_overlap(len(query))
-    if len(lists) < t:
-        return []
+    lists = sets.where("cid is not null").select("cid", "tokens").mapInArrow(post, "bucket long, x binary, y binary")
+    counts = lists.repartition(max(1, min(buckets, 4000)), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "part long, x binary, y binary")
+    return counts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total, "cid long, shared long")
+
+
+def _sorted_runs(batches):
+    """((first column,), other columns of its rows) of batches sorted by their first column."""
+    now, rows = None, []
+    for batch in batches:
+        for key, *rest in zip(*batch.columns, strict=True):
+            key = key.as_py()
+            if key != now:
+                if rows:
+                    yield (now,), rows
+                now, rows = key, []
+            rows.append(tuple(r.as_py() for r in rest))
+    if rows:
+        yield (now,), rows
+
+
+def merged_counts(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids in order, how many of the lists hold each): a heap merge, or a sort where the lists are long in sum."""
+    if not lists:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if sum(map(len, lists)) <= HEAP:
+        runs = [(c, sum(1 for _ in run)) for c, run in groupby(merge(*(x.tolist() for x in lists)))]
+        return np.array([c for c, _ in runs], np.int64), np.array([k for _, k in runs], np.int64)
+    ids = np.sort(np.concatenate(lists), kind="stable")
+    starts, counts = _runs(ids)
+    return ids[starts], counts
+
+
+def divide_skip(t: int, lists: list[np.ndarray], long_weight: float = MU) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of all ids that stand in at least ``t`` of the sorted lists."""
+    empty = np.empty(0, np.int64)
+    if t < 1 or len(lists) < t:
+        return empty, empty
     lists = sorted(lists, key=len)
     n_long = min(t - 1, int(t / (long_weight * log2(max(2, len(lists[-1]))) + 1)))
     short, probed = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    found = []
-    for c, run in groupby(merge(*short)):
-        k = sum(1 for _ in run)
-        if k < t - n_long:
-            continue
-        for x in probed:
-            at = bisect_left(x, c)
-            k += at < len(x) and x[at] == c
-        if k >= t:
-            found.append((c, k))
-    return found
-
-
-def search_block(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
-    """Places in ``sets`` of those that link with the query set."""
-    token = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    at = np.minimum(np.searchsorted(query, token), len(query) - 1)
-    hit = query[at] == token
-    at, owner = at[hit], owner[hit]
-    if not len(at):
-        return []
-    order = np.lexsort((owner, at))
-    starts, sizes = _runs(at[order])
-    owner = owner[order].tolist()
-    lists = [owner[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-    return [c for c, k in divide_skip(query, lists, sizes) if 9 * k >= 4 * (len(query) + len(sets[c]))]
-
-
-def search(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The links (a, b) among candidate pairs (a: query, b: candidate); ``full`` has the whole sets by cid."""
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(16)).alias("salt"))
-    asked = pairs.select("a", "salt").distinct().join(full.select(F.col("cid").alias("a"), "tokens"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "tokens")
-    given = pairs.join(full.select(F.col("cid").alias("b"), "tokens"), "b").select("a", "salt", "b", "tokens")
+    ids, counts = merged_counts(short)
+    good = counts >= t - n_long
+    ids, counts = ids[good], counts[good]
+    for done, x in enumerate(probed, 1):
+        if not len(ids):
+            break
+        at = np.minimum(np.searchsorted(x, ids), len(x) - 1)
+        counts = counts + (x[at] == ids)
+        good = counts >= t - n_long + done
+        ids, counts = ids[good], counts[good]
+    return ids, counts
+
+
+class SetIndex:
+    """Inverted lists of a block of shingle sets."""
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray]):
+        self.ids, self.sizes = ids, np.array([len(x) for x in sets])
+        token = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(token, kind="stable")
+        token, self.owner = token[order], owner[order]
+        self.starts, sizes = _runs(token)
+        self.stops = self.starts + sizes
+        self.tokens = token[self.starts]
+
+    def links(self, query: np.ndarray) -> list[int]:
+        """Ids of the sets that link with the query set."""
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
+        lists = [self.owner[a:b] for a, b in zip(self.starts[at], self.stops[at], strict=True)]
+        found, overlap = divide_skip(least_overlap(len(query)), lists)
+        return [self.ids[i] for i in found[9 * overlap >= 4 * (len(query) + self.sizes[found])]]
 
-    def run(batches):
-        query, head, ids, sets = None, None, [], []
 
-        def flush():
-            good = search_block(query, sets) if ids else []
-            return pa.record_batch([pa.array([head[0]] * len(good), pa.int64()), pa.array([ids[i] for i in good], pa.int64())], ["a", "b"])
+def search(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFrame:
+    """The links (a, b) between sets and the blocks they ask: ``asks`` (a, block), ``members`` (block, cid).
+
+    ``full`` has the whole sets by cid.  A block's sets are sent once, a query's set once for each block it asks.
+    """
+    wanted = members.join(asks.select("block").distinct(), "block", "left_semi")
+    index = wanted.join(full.select("cid", "tokens"), "cid").select("block", F.lit(0).alias("kind"), "cid", "tokens")
+    query = asks.join(full.select(F.col("cid").alias("a"), "tokens"), "a").select("block", F.lit(1).alias("kind"), F.col("a").alias("cid"), "tokens")
 
+    def run(batches):
+        now, ids, sets, index, out = None, [], [], None, ([], [])
         for batch in batches:
-            for a, s, b, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if b is None:
-                    if ids:
-                        yield flush()
-                    head, query, ids, sets = (a, s), np.frombuffer(x, np.uint64), [], []
+            for block, kind, cid, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if block != now:
+                    now, ids, sets, index = block, [], [], None
+                x = np.frombuffer(x, np.uint64)
+                if kind == 0:
+                    ids.append(cid), sets.append(x)
                     continue
-                assert head == (a, s)
-                ids.append(b), sets.append(np.frombuffer(x, np.uint64))
-                if len(ids) == BLOCK:
-                    yield flush()
-                    ids, sets = [], []
-        if ids:
-            yield flush()
-
-    rows = asked.unionByName(given).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+                index = index or SetIndex(ids, sets)
+                good = [b for b in index.links(x) if b != cid]
+                out[0].extend([cid] * len(good)), out[1].extend(good)
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+            out = ([], [])
+
+    rows = index.unionByName(query).repartition("block").sortWithinPartitions("block", "kind", "cid")
     return rows.mapInArrow(run, "a long, b long")
 
 
-def short_lists(full: DataFrame) -> DataFrame:
-    """(token, cid, n): each set's postings without those unique to it and those in its longest lists."""
+def short_lists(full: DataFrame, alive: DataFrame) -> DataFrame:
+    """(token, cid, n, r): postings of the sets alive, without those unique to a set and those in its longest lists."""
 
     def run(batches):
         for batch in batches:
-            for c, n, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                token = np.frombuffer(x, np.uint64)[: posted(n)].view(np.int64)
-                yield pa.record_batch([pa.array(token), pa.array(np.full(len(token), c)), pa.array(np.full(len(token), n))], ["token", "cid", "n"])
-
-    lists = full.select("cid", "n", "tokens").mapInArrow(run, "token long, cid long, n long")
+            tokens, cids, ns, rs = [], [], [], []
+            for c, n, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                tokens.append(np.frombuffer(x, np.uint64)[: posted(n)].view(np.int64))
+                k = len(tokens[-1])
+                cids.append(np.full(k, c)), ns.append(np.full(k, n)), rs.append(np.full(k, r))
+            if tokens:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (tokens, cids, ns, rs)], ["token", "cid", "n", "r"])
+
+    lists = full.select("cid", "tokens").join(bounded(alive, SMALL), "cid").select("cid", "n", "r", "tokens").mapInArrow(run, "token long, cid long, n long, r long")
     length = lists.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
     own = Window.partitionBy("cid")
     n = F.col("n")
     least = F.expr("(4 * n + 4) div 5")
+    all_posted = n - least + 1 + F.expr("n div 10")
     ranked = lists.join(length, "token").withColumn("place", F.row_number().over(own.orderBy("len", "token"))).withColumn("kept", F.count("*").over(own))
     # shingles that no other set posts come first in the order and use up places
-    alone = n - least + 1 + F.expr("n div 10") - F.col("kept")
-    last = (n - least + 1 + F.expr("n div 10")) - (1 + (least - least % 10) / 10).cast("long") + 1
-    return ranked.where(alone + F.col("place") <= last).select("token", "cid", "n")
+    last = all_posted - (1 + F.expr("((4 * n + 4) div 5) div 10")) + 1
+    return ranked.where(all_posted - F.col("kept") + F.col("place") <= last).select("token", "cid", "n", "r")
 
 
-def _similar_size(x, y):
-    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+def _possible(n1, r1, n2, r2):
+    """Whether sizes and shared shingles of two sets leave a link possible."""
+    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * F.least(r1, r2) >= 4 * (n1 + n2))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,25 +315,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = sets.select(F.sum(F.length("tokens")) / 8).first()[0] or 0
     shared = shared_counts(sets, int(total // BUCKET) + 1)
     least = F.expr("(4 * n + 4) div 5")
-    left, _ = save(classes.where("rep is not null").join(shared, "cid").where(F.col("shared") >= 1 + F.expr("((4 * n + 4) div 5) div 10")).select("cid", "rep"), "active")
+    left, _ = save(classes.where("rep is not null").join(shared, "cid").where(F.col("shared") >= 1 + F.expr("((4 * n + 4) div 5) div 10")).select("cid", "rep", "n"), "active")
+    names, _ = save(sets.select("doc_id", "n", "cid"), "names")
+    drop_path(docs.sparkSession, sets_at)
     again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(bounded(left.select(F.col("rep").alias("doc_id")).distinct(), SMALL), "doc_id", "left_semi")
     full, _ = save(shingle_table(again, True).join(bounded(left.select("cid"), SMALL), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    lists, _ = save(short_lists(full), "lists")
-
-    pivot = lists.groupBy("token").agg(F.min_by(F.struct("cid", "n"), "cid").alias("p"), F.count("*").alias("len")).where("len > 1").select("token", F.col("p.cid").alias("a"), F.col("p.n").alias("m"))
-    stars = lists.join(pivot, "token").where((F.col("a") != F.col("cid")) & _similar_size(F.col("m"), F.col("n"))).groupBy(F.col("cid").alias("b"), "a").agg(F.count("*").alias("k"))
-    first, _ = save(search(stars.groupBy("b").agg(F.max_by("a", F.struct("k", "a")).alias("a")), full), "links")
+    total = full.select(F.sum(F.length("tokens")) / 8).first()[0] or 0
+    held = shared_counts(full, int(total // BUCKET) + 1).withColumnRenamed("shared", "r")
+    alive, _ = save(left.select("cid", "n").join(held, "cid").where("r >= (4 * n + 4) div 5").select("cid", "n", "r"), "alive")
+    lists, _ = save(short_lists(full, alive), "lists")
+
+    # the most central set of each list
+    pivot = lists.groupBy("token").agg(F.max_by(F.struct("cid", "n", "r"), F.struct(F.col("r") / F.col("n"), "cid")).alias("p"), F.count("*").alias("len")).where("len > 1")
+    pivot = pivot.select("token", F.col("p.cid").alias("a"), F.col("p.n").alias("an"), F.col("p.r").alias("ar"))
+    stars = lists.join(pivot, "token").where((F.col("a") != F.col("cid")) & _possible(F.col("n"), F.col("r"), F.col("an"), F.col("ar"))).groupBy("cid", "a").agg(F.count("*").alias("k"))
+    stars = stars.groupBy("cid").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
+    # a pivot's sets are searched in blocks by their hash
+    stars, _ = save(stars.select("a", "cid", F.xxhash64("a", F.pmod(F.xxhash64("cid"), F.lit(16))).alias("block")), "stars")
     keep = lambda df: save(df, "labels")[0]
+    first, _ = save(search(stars.select("a", "block").distinct(), stars.select("block", "cid"), full), "links")
     named = components(first, keep)
 
-    parts, _ = save(lists.join(named.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "parts")
-    inside = parts.groupBy("token", "component").agg(F.count("*").alias("k"))
-    mixed = inside.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    x = parts.join(mixed, "token").where("component <> main").select("token", "main", F.col("cid").alias("a"), F.col("n").alias("an"), F.col("component").alias("ac"))
-    y = parts.select("token", F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("component").alias("bc"))
-    cross = x.join(y, "token").where((F.col("ac") != F.col("bc")) & _similar_size(F.col("an"), F.col("bn")) & ((F.col("bc") == F.col("main")) | (F.col("a") < F.col("b"))))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more, _ = save(search(cross, full), "links")
+    labelled = alive.join(named.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    # small components share the blocks of the pivot that their sets were searched from
+    labelled = labelled.join(labelled.groupBy("component").agg(F.count("*").alias("members")), "component").join(stars.select("cid", "a"), "cid", "left")
+    labelled = labelled.withColumn("home", F.when(F.col("members") * 4 >= BLOCK, F.col("component")).otherwise(F.coalesce("a", "component")))
+    homes = labelled.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    labelled, _ = save(labelled.join(homes, "home").select("cid", "component", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("block")), "blocks")
+    inside, _ = save(lists.join(labelled, "cid"), "inside")
+    main = inside.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
+    x = inside.join(main, "token").where("component <> main").select("token", F.col("cid").alias("a"), "n", "r", F.col("component").alias("own"))
+    y = inside.groupBy("token", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("most"))
+    # no set of the block can link unless some size of it fits, and some set shares enough
+    fits = (5 * F.col("high") >= 4 * F.col("n")) & (4 * F.col("low") <= 5 * F.col("n")) & (4 * (F.col("n") + F.greatest(F.col("low"), F.expr("(4 * n + 4) div 5"))) <= 9 * F.least("r", "most"))
+    other = (F.col("c0") != F.col("own")) | (F.col("c1") != F.col("own"))
+    asks = x.join(y, "token").where(other & fits).select("a", "block").distinct()
+    more, _ = save(search(save(asks, "asks")[0], labelled.select("block", "cid"), full), "links")
     joined = components(first.unionByName(more), keep)
 
     named = classes.join(joined.select(F.col("id").alias("cid"), "component"), "cid")
@@ -297,7 +358,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = named.join(lowest, "component").select("cid", "rep", "component_id")
     copied = classes.where("copies > 1").join(linked.select("cid"), "cid", "left_anti").select("cid", "rep", F.col("rep").alias("component_id"))
     groups = linked.unionByName(copied)
-    out = sets.select("doc_id", "n", "cid").join(groups, "cid", "left")
+    out = names.join(groups, "cid", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
