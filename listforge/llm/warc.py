@@ -36,7 +36,7 @@ ARC_FIELDS = {
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
 #: Bytes of payload an archive holds about.
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 2 << 20
 DATE = "20240101000000"
 
 
@@ -167,42 +167,54 @@ def revisits(pages: DataFrame) -> DataFrame:
     return sums.join(first, "sha").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
 
 
-def archives(pages: DataFrame) -> DataFrame:
-    """(name, version, arc) archives of the pages; a revisit names the page it refers to in its headers."""
-    marked = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(revisits(pages), "page_id", "left")
+def _pack(held: list[tuple]) -> pa.RecordBatch:
+    key = hashlib.sha256(repr([(u, h, len(p)) for u, h, p in held]).encode()).hexdigest()[:16]
+    version = 1 + int(key, 16) % 2
+    return pa.record_batch([pa.array([f"{key}.arc"]), pa.array([version], pa.int32()), pa.array([write_arc(f"{key}.arc", held, version)], pa.binary())], ["name", "version", "arc"])
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            for page, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                payload = (html or "").encode()
-                head = ({"X-Page-Id": page} if page is not None else {}) | ({"X-Refers-To": refers} if refers is not None else {})
-                held.append((url, head, payload))
-                size += len(payload)
-                if size >= ARCHIVE_BYTES:
-                    yield pack(held)
-                    held, size = [], 0
-        if held:
-            yield pack(held)
 
-    def pack(held):
-        key = hashlib.sha256(repr([(u, h, len(p)) for u, h, p in held]).encode()).hexdigest()[:16]
-        version = 1 + int(key, 16) % 2
-        return pa.record_batch([pa.array([f"{key}.arc"]), pa.array([version], pa.int32()), pa.array([write_arc(f"{key}.arc", held, version)], pa.binary())], ["name", "version", "arc"])
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, html, refers_to) rows to archives of about ``ARCHIVE_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        for page, url, html, refers in zip(*batch.columns, strict=True):
+            payload = (html.as_py() or "").encode()
+            head = ({"X-Page-Id": page.as_py()} if page.is_valid else {}) | ({"X-Refers-To": refers.as_py()} if refers.is_valid else {})
+            held.append((url.as_py(), head, payload))
+            size += len(payload)
+            if size >= ARCHIVE_BYTES:
+                yield _pack(held)
+                held, size = [], 0
+    if held:
+        yield _pack(held)
+
+
+def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, arc in zip(batch.column("name").to_pylist(), batch.column("arc"), strict=True):
+            stem = name.removesuffix(".arc")
+            yield pa.record_batch([pa.array([f"{stem}.warc.gz"]), pa.array([convert(f"{stem}.arc", arc.as_py())], pa.binary())], ["name", "warc"])
+
 
-    return marked.select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, version int, arc binary")
+def _marked(pages: DataFrame) -> DataFrame:
+    """Pages with the page a revisit refers to, which its archive names in the record's headers."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(revisits(pages), "page_id", "left")
+    return rows.select("page_id", "url", "html", "refers_to")
+
+
+def archives(pages: DataFrame) -> DataFrame:
+    """(name, version, arc): legacy archives of the pages."""
+    return _marked(pages).mapInArrow(_write, "name string, version int, arc binary")
 
 
 def converted(arcs: DataFrame) -> DataFrame:
     """(name, warc) of ARC archives (name, arc)."""
+    return arcs.select("name", "arc").mapInArrow(_convert, "name string, warc binary")
 
-    def run(batches):
-        for batch in batches:
-            for name, arc in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                name = name.removesuffix(".arc")
-                yield pa.record_batch([pa.array([f"{name}.warc.gz"]), pa.array([convert(f"{name}.arc", arc.as_py())], pa.binary())], ["name", "warc"])
 
-    return arcs.select("name", "arc").mapInArrow(run, "name string, warc binary")
+def rewritten(pages: DataFrame) -> DataFrame:
+    """(name, warc): both steps in one Python worker, archive by archive."""
+    return _marked(pages).mapInArrow(lambda batches: _convert(_write(batches)), "name string, warc binary")
 
 
 def records(warcs: DataFrame) -> DataFrame:
@@ -229,5 +241,5 @@ def records(warcs: DataFrame) -> DataFrame:
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    stored, _ = save(converted(archives(table(spark, sf_dir, "pages"))), "warc")
+    stored, _ = save(rewritten(table(spark, sf_dir, "pages")), "warc")
     return records(stored).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
