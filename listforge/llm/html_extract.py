@@ -144,8 +144,8 @@ def parse(text: str) -> Page:
         found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m[4])} if m[4] else {}
         names = " ".join(found.get(k, "") for k in ("class", "id", "role"))
         parent = next((page.elements[i] for _, i in reversed(stack) if i >= 0), None)
-        inside = any(t in ("article", "main") for t, _ in stack)
-        # a header inside an article holds its title
+        inside = any(page.elements[i].prior > 1 for t, i in stack if i >= 0 and t not in ("html", "body"))
+        # a header inside the content holds its title
         hidden = (tag in HIDDEN and not (tag == "header" and inside)) or bool(names and FURNITURE.search(names) and tag not in ("html", "body", "article", "main")) or "hidden" in found or found.get("aria-hidden") == "true"
         if tag == "article" and names and re.search(r"comment|repl(?:y|ies)|teaser|related|promo", names, re.I):
             hidden = True
