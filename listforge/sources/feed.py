@@ -38,7 +38,7 @@ def read_raw(spark: SparkSession, path: str, label: str = "feed", multi_line: bo
     if not exists(spark, path):
         return spark.createDataFrame([], RAW)
     rows = spark.read.schema(f"{RAW}, _broken string").option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(path)
-    broken = rows.where("_broken is not null").select("_broken").limit(1).cache().collect()
+    broken = rows.where("_broken is not null").select("_broken", *[c for c in rows.columns if c != "_broken"]).limit(1).collect()
     if broken:
         raise InvalidSource(f"{label} at {path} holds no array of objects: {str(broken[0][0])[:80]!r}")
     return rows.drop("_broken")

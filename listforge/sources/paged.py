@@ -6,7 +6,7 @@ import json
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
@@ -51,7 +51,7 @@ class PagedReader(DataSourceReader):
 
 
 class PagedListing(DataSource):
-    """``spark.dataSource.register(PagedListing)``, then ``spark.read.format("paged_listing")``."""
+    """After ``register(spark)``: ``spark.read.format("paged_listing").option("url", template)``."""
 
     @classmethod
     def name(cls) -> str:
@@ -64,6 +64,12 @@ class PagedListing(DataSource):
         return PagedReader(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the format known to the session, with filters pushed to its reader."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PagedListing)
+
+
 def stable_key() -> Column:
     return F.coalesce(or_null(F.col("slug")), F.col("id").cast("string"))
 
@@ -82,7 +88,7 @@ def areas_for(categories: str, areas: DataFrame, aliases: dict[str, list[str]])
     from ..functions.text import label_text
 
     spark = areas.sparkSession
-    wanted = [w for x in categories.split(",") if (w := x.strip()) for w in aliases.get(w.lower(), [w])]
+    wanted = [name for x in map(str.strip, categories.split(",")) if x for name in aliases.get(x.lower(), [x])]
     names = spark.createDataFrame([(w,) for w in wanted], "label string").select(label_text(F.col("label")).alias("label")).distinct()
     return areas.select("id", label_text(F.col("name")).alias("label")).join(F.broadcast(names), "label").select("id").distinct()
 
