@@ -1,4 +1,4 @@
-"""Connected components of an edge table by label propagation with pointer jumping."""
+"""Connected components of an edge table by hooking and pointer jumping (FastSV)."""
 
 from __future__ import annotations
 
@@ -8,23 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) for every id of ``edges`` (a, b); the component is its smallest id.
 
-    Each round takes the smallest label among the neighbours and then the label's own label, so the
-    rounds grow with the logarithm of a component's diameter.  ``keep`` materialises a round's labels
+    Each round offers the smallest label of the neighbours' labels to an id and to the id its label names
+    (so that whole trees hook, not their leaves alone), and the label's own label to the id.  Rounds go on
+    until no label changes; labels only fall, so that they end.  ``keep`` materialises a round's labels
     (by default with checkpoint(), in the folder all executors share).  Null ends are dropped, loops
     give an id of its own component, repeated edges count once.
     """
     keep = keep or (lambda df: df.checkpoint())
     both = keep(edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a is not null and b is not null")).distinct())
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
-    for _ in range(max_rounds):
-        heard = both.join(labels.select(F.col("id").alias("b"), F.col("component").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        lower = labels.join(heard, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("hop"))
-        own = labels.select(F.col("id").alias("hop"), F.col("component").alias("jump"))
-        moved = keep(lower.join(own, "hop", "left").select("id", "old", F.least("hop", "jump").alias("component")))
+    while True:
+        own = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
+        jumped = keep(labels.join(own, "component").select("id", "component", "jump"))
+        heard = both.join(jumped.select(F.col("id").alias("b"), F.col("jump").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        offers = jumped.join(heard, "id").select("id", "component", F.least("jump", "near").alias("low"), "near")
+        hooks = offers.where("near < component").groupBy(F.col("component").alias("id")).agg(F.min("near").alias("hook"))
+        moved = keep(offers.join(hooks, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "low", "hook").alias("component")))
         labels = moved.select("id", "component")
         if moved.where("old <> component").isEmpty():
             return labels
-    raise RuntimeError(f"labels still changed after {max_rounds} rounds")
