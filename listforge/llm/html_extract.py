@@ -3,14 +3,19 @@
 A page is read into tokens: structural ones (the path of an element from the root, with its main class) and
 text ones (a block's path with its text).  A token's occurrence vector says how often it stands in each page
 of its host; tokens with equal vectors form an equivalence class.  Vectors are not built: a token's signature
-is the exclusive or of a hash of (page, count) over the pages, which partial aggregation merges.  Classes that
-stand in at least ``SHARE`` of a host's pages, not all of them copies of one page, are valid.  A valid class
-nests in another if its paths run through one of that class's; the nested classes are the template: fixed
-elements, with fixed text, around slots.  The main slot is the element that holds most text of its own, net of
-links, over the pages of the host; extraction keeps the blocks in that slot without the template's fixed text
-and without furniture (elements whose tag, role or class names say menu, advert, form, comment and so on).
-
-Hosts with fewer than ``PAGES`` pages, and pages that lack their host's main slot, take the slot of the page
+is the exclusive or of a hash of (content, count) over the contents, which merges like any aggregate.  Near
+copies of a page are one content: pages of a host whose texts' min-hash sketches agree in ``ALIKE`` of ``BINS``
+places with that of the first page of a band they share are joined into components, and one page of each
+component speaks for it.  Classes that stand in at least ``SHARE`` of a host's contents are valid.
+
+The main slot is the element that holds most text of its own, net of links, over the contents of the host.  A
+valid text nests in the structural class of its own element.  Where all text of that element's path is fixed,
+it lies outside the slots and is part of the template; where the path has other text too, it is a slot, and the
+text is fixed only if its class is that of a structural one and it stands at the same place among its
+container's blocks, counted from the first or from the last, on every content.  Extraction keeps the blocks in the main slot without the template's fixed text and without furniture (elements whose tag, role or class names say
+menu, advert, form, comment and so on); fixed text that would leave the main slot empty is kept.
+
+Hosts with fewer than ``PAGES`` contents, and pages that lack their host's main slot, take the slot of the page
 alone.  A host's template is as large as a page, not as the host: fixed tokens stand in most of its pages.
 
 Defined cases: a null or empty html, and one without a slot with text, give the empty text; a page whose url has
@@ -24,14 +29,19 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, table
+from ..plans.components import components
+from .common import bounded, drop_path, save, shingle_set, table
 
 SHARE, PAGES = 0.9, 4
+#: Places of a page's sketch, bands they are compared in, and places in which sketches of near copies agree.
+BINS, BANDS, ALIKE = 32, 8, 22
 #: Template rows up to which they are broadcast; beyond it pages and templates meet in a shuffled join.
 SMALL = 200_000
 
@@ -175,19 +185,50 @@ def _key(s: str) -> int:
     return xxhash.xxh64_intdigest(s) - (1 << 63)
 
 
-def page_tokens(page: Page, page_id: int) -> dict[tuple[int, int], list]:
-    """(kind, token) -> [vector's part of the signature, slot score, path]; kind 0: structure, 1: text."""
+def sketch(page: Page) -> bytes:
+    """Smallest hash of the 3-word shingles of the text outside furniture, in each of ``BINS`` ranges, one byte each."""
+    x = shingle_set(" ".join(b.text for b in page.blocks if not (b.path and page.elements[b.path[-1]].hidden)), 3)
+    if not len(x):
+        return bytes(BINS)
+    at = np.searchsorted(x, np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1))
+    filled = np.flatnonzero(np.diff(np.append(at, len(x))) > 0)
+    # an empty range takes the next one's
+    low = x[at[filled[np.searchsorted(filled, np.arange(BINS)) % len(filled)]]]
+    return (low & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def page_tokens(page: Page, content: int) -> dict[tuple[int, int], list]:
+    """(kind, token) -> [vector's part of the signature, slot score, path, place's path, blocks, before, after].
+
+    kind 0: structure, 1: text.  ``blocks`` counts the blocks right in a structural token's elements, or the text's
+    own; ``before`` and ``after`` are the blocks of its container before and after a text.
+    """
     counts: dict[tuple[int, int], int] = defaultdict(int)
     paths: dict[int, str] = {}
-    for e in page.elements:
-        counts[0, k := _key(e.path)] += 1
+    keys = [_key(e.path) for e in page.elements]
+    for e, k in zip(page.elements, keys, strict=True):
+        counts[0, k] += 1
         paths[k] = e.path
-    for b in page.blocks:
-        counts[1, _key(f"{page.elements[b.path[-1]].path if b.path else ''}\0{b.text}")] += 1
+    blocks: dict[int, int] = defaultdict(int)
+    held: dict[int, list[int]] = defaultdict(list)
+    for n, b in enumerate(page.blocks):
+        blocks[keys[b.path[-1]] if b.path else 0] += 1
+        # the container is the innermost element around that of the text, which may be a paragraph of one block
+        held[b.path[-2] if len(b.path) > 1 else -1].append(n)
+    place = {n: (i, len(ns) - 1 - i) for ns in held.values() for i, n in enumerate(ns)}
+    texts: dict[int, tuple[int, int, int]] = {}
+    for n, b in enumerate(page.blocks):
+        at = page.elements[b.path[-1]].path if b.path else ""
+        k = _key(f"{at}\0{b.text}")
+        counts[1, k] += 1
+        texts[k] = (keys[b.path[-1]] if b.path else 0, *place[n])
     scores: dict[int, float] = defaultdict(float)
     for i, s in slot_scores(page).items():
-        scores[_key(page.elements[i].path)] = max(scores[_key(page.elements[i].path)], s)
-    return {key: [_key(f"{page_id} {n}"), scores.get(key[1], 0.0) if key[0] == 0 else 0.0, paths.get(key[1])] for key, n in counts.items()}
+        scores[keys[i]] = max(scores[keys[i]], s)
+    return {
+        (kind, k): [_key(f"{content} {n}"), scores.get(k, 0.0) if kind == 0 else 0.0, paths.get(k) if kind == 0 else None, *((k, blocks[k], 0, 0) if kind == 0 else (texts[k][0], n, *texts[k][1:]))]
+        for (kind, k), n in counts.items()
+    }
 
 
 def extract(page: Page, main: str | None, fixed: set[int]) -> str:
@@ -200,47 +241,80 @@ def extract(page: Page, main: str | None, fixed: set[int]) -> str:
         root = max(scores, key=lambda i: (scores[i], -i))
     else:
         root = -1
-    out = []
+    out, own = [], []
     for b in page.blocks:
         at = page.elements[b.path[-1]] if b.path else None
         if root >= 0 and root not in b.path or at is not None and at.hidden:
             continue
-        if fixed and _key(f"{at.path if at else ''}\0{b.text}") in fixed:
-            continue
         out.append(b.text)
-    return " ".join(out)
+        if not fixed or _key(f"{at.path if at else ''}\0{b.text}") not in fixed:
+            own.append(b.text)
+    return " ".join(own or out)
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def one_of_each(sketches: DataFrame) -> DataFrame:
+    """(uid) of one page of each group of near copies of a host, from (host, doc, uid, sketch)."""
+    contents, _ = save(sketches.groupBy("host", "doc").agg(F.min("uid").alias("uid"), F.min("sketch").alias("sketch")), "contents")
+    size = BINS // BANDS
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64("host", i, F.substring(F.col("sketch"), i * size + 1, F.lit(size)))))
+    banded = contents.select("doc", "sketch", band.alias("band"))
+    first = banded.groupBy("band").agg(F.min(F.struct("doc", "sketch")).alias("f"), F.count("*").alias("k")).where("k > 1").select("band", F.col("f.doc").alias("b"), F.col("f.sketch").alias("other"))
+    agree = F.expr(f"aggregate(sequence(1, {BINS}), 0, (n, i) -> n + if(substring(sketch, i, 1) = substring(other, i, 1), 1, 0))")
+    pairs = banded.join(bounded(first, SMALL), "band").where("doc <> b").select(F.col("doc").alias("a"), "b", "sketch", "other").dropDuplicates(["a", "b"])
+    edges, _ = save(pairs.where(agree >= ALIKE).select("a", "b"), "alike")
+    if edges.isEmpty():
+        return contents.select("uid")
+    copies = components(edges, lambda df: save(df, "labels")[0]).where("id <> component").select(F.col("id").alias("doc"))
+    return contents.join(copies, "doc", "left_anti").select("uid")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, fixed): path of the main slot, and the hashes of fixed text, of each host with a template."""
 
     def run(batches):
+        uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
-            for host, page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 content = text.as_py()
                 if not content:
                     continue
-                same = xxhash.xxh64_intdigest(content) - (1 << 63)
-                for (kind, token), (sign, score, path) in page_tokens(parse(content), page_id if page_id is not None else same).items():
-                    rows.append((host, kind, token, sign, score, path, same))
+                page, doc, uid = parse(content), _key(f"{host}\0{content}"), uid + 1
+                rows.append((host, 2, 0, 0, 0.0, None, 0, 0, 0, 0, doc, uid, sketch(page)))
+                for (kind, token), values in page_tokens(page, doc).items():
+                    rows.append((host, kind, token, *values, None, uid, None))
             if rows:
-                types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["host", "kind", "token", "sign", "score", "path", "same"])
-
-    tokens = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "host string, kind int, token long, sign long, score double, path string, same long")
-    merged = tokens.groupBy("host", "kind", "token").agg(F.count("*").alias("pages"), F.bit_xor("sign").alias("signature"), F.sum("score").alias("score"), F.min("path").alias("path"), F.min("same").alias("first"), F.max("same").alias("last"))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    names = ["host", "kind", "token", "sign", "score", "path", "at", "blocks", "before", "after", "doc", "uid", "sketch"]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    schema = "host string, kind int, token long, sign long, score double, path string, at long, blocks long, before long, after long, doc long, uid long, sketch binary"
+    read, read_at = save(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, schema), "read")
+    chosen, _ = save(one_of_each(read.where("kind = 2").select("host", "doc", "uid", "sketch")), "chosen")
+    tokens = read.where("kind < 2").join(bounded(chosen, SMALL), "uid", "left_semi")
+    places = [f("before") for f in (F.min, F.max)] + [f("after") for f in (F.min, F.max)]
+    merged = tokens.groupBy("host", "kind", "token").agg(
+        F.count("*").alias("pages"), F.bit_xor("sign").alias("signature"), F.sum("score").alias("score"), F.min("path").alias("path"), F.min("at").alias("at"), F.sum("blocks").alias("blocks"),
+        *[p.alias(n) for p, n in zip(places, ("b0", "b1", "a0", "a1"), strict=True)],
+    )
     merged, _ = save(merged.where("pages > 1"), "tokens")
+    drop_path(pages.sparkSession, read_at)
     sizes = merged.where("kind = 0").groupBy("host").agg(F.max("pages").alias("n")).where(F.col("n") >= PAGES)
-    valid = merged.join(sizes, "host").where((F.col("pages") >= SHARE * F.col("n")) & (F.col("first") != F.col("last")))
-    # an equivalence class is what shares a signature; a lone text token is chance, not a template
-    classes = valid.groupBy("host", "signature").agg(F.max(F.struct("score", "path")).alias("best"), F.collect_list(F.when(F.col("kind") == 1, F.col("token"))).alias("text"), F.count("*").alias("members"), F.sum(1 - F.col("kind")).alias("elements"))
-    nested = classes.groupBy("host").agg(F.max("best").alias("best"), F.flatten(F.collect_list(F.when((F.col("members") > 1) & (F.col("elements") > 0) | (F.col("members") > 1), F.col("text")))).alias("fixed"))
-    return nested.select("host", F.when(F.col("best.score") > 0, F.col("best.path")).alias("main"), "fixed")
+    valid, _ = save(merged.join(sizes, "host").where(F.col("pages") >= SHARE * F.col("n")), "valid")
+    main = valid.where("kind = 0").groupBy("host").agg(F.max(F.struct("score", "path")).alias("best"))
+    # a path all of whose blocks are valid texts is fixed; one with other blocks is a slot
+    text = valid.where("kind = 1")
+    known = text.groupBy("host", "at").agg(F.sum("blocks").alias("known"))
+    paths = valid.where("kind = 0").select("host", F.col("token").alias("at"), F.col("blocks").alias("all")).join(known, ["host", "at"]).select("host", "at", (F.col("known") < F.col("all")).alias("slot"))
+    kinds = valid.where("kind = 0").select("host", "signature").distinct().withColumn("classed", F.lit(True))
+    nested = text.join(paths, ["host", "at"]).join(kinds, ["host", "signature"], "left")
+    edge = F.col("classed").isNotNull() & ((F.col("b0") == F.col("b1")) | (F.col("a0") == F.col("a1")))
+    fixed = nested.where(~F.col("slot") | edge).groupBy("host").agg(F.collect_list("token").alias("fixed"))
+    return main.join(fixed, "host", "left").select("host", F.when(F.col("best.score") > 0, F.col("best.path")).alias("main"), F.coalesce("fixed", F.array().cast("array<bigint>")).alias("fixed"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
