@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as it takes them, the last time cut where it ends."""
+    """The mix: documents as often as it takes them, the last time cut to the blocks that its seeded sample takes."""
     ship(spark)
     return mixing.mixed_documents(docs)
 

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .common import n_words, save, table
@@ -94,9 +95,10 @@ def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, taken, passes, part): words the mix takes of each document.
+    """(id, source, size, source_size, target, taken, passes, part, ranges): words the mix takes of each document.
 
-    ``passes`` counts whole copies; ``part`` the words of one further, partial take (taken = passes * size + part).
+    ``passes`` counts whole copies; ``part`` the words of one further, partial take (taken = passes * size + part),
+    which are those of the document's word ranges ``ranges`` (start, stop), in order.
     ``cap`` is a whole number, so that it bounds each document as it does its source.
     """
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
@@ -124,26 +126,57 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: int =
         return f"({picked(j)} * {BLOCK} + {inside} + case when rb < nb then least({t}, tail) else least(greatest({t} - nb * {BLOCK}, 0), tail) end)"
 
     rows = rows.withColumn("part", F.expr(f"{among_first('stop')} - {among_first('(stop - size)')}"))
+    # picked block number q is the first that brings the count of those picked to q
+    picked = lambda j: f"((least({j}, nb) * rb + phase) div nb)"
+    first, last = picked(f"((stop - size) div {BLOCK})"), picked(f"((stop + {BLOCK - 1}) div {BLOCK})")
+    place = f"((q * nb - phase + rb - 1) div rb - 1) * {BLOCK}"
+    blocks = f"case when nb > 0 and rb > 0 and {last} > {first} then transform(sequence({first} + 1, {last}), q -> struct({place} as start, {place} + {BLOCK} as stop)) else array() end"
+    left = f"case when rb < nb then struct(0L as start, tail as stop) else struct(nb * {BLOCK} as start, nb * {BLOCK} + tail as stop) end"
+    rows = rows.withColumn("spans", F.expr(f"concat(if(rb < nb, array({left}), cast(array() as array<struct<start:bigint,stop:bigint>>)), cast({blocks} as array<struct<start:bigint,stop:bigint>>), if(rb < nb, cast(array() as array<struct<start:bigint,stop:bigint>>), array({left})))"))
+    own = "transform(spans, s -> struct(greatest(s.start - (stop - size), 0L) as start, least(s.stop - (stop - size), size) as stop))"
+    rows = rows.withColumn("ranges", F.expr(f"filter({own}, s -> s.start < s.stop)"))
     taken = F.col("full") * F.col("size") + F.col("part")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), F.col("full").alias("passes"), "part")
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), F.col("full").alias("passes"), "part", "ranges")
+
+
+def cut(text: str, ranges: list[tuple[int, int]]) -> str:
+    """The text's words in the ranges (start, stop), as they stand in it; a blank between ranges that do not touch."""
+    b = text.encode("utf-8")
+    blank = np.isin(np.frombuffer(b, np.uint8), np.array([9, 10, 11, 12, 13, 32], np.uint8))
+    edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    joined: list[list[int]] = []
+    for start, stop in ranges:
+        if joined and joined[-1][1] == start:
+            joined[-1][1] = stop
+        else:
+            joined.append([start, stop])
+    return b" ".join(b[first[i] : last[j - 1]] for i, j in joined).decode("utf-8")
+
+
+@F.pandas_udf(StringType())
+def _cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    return pd.Series([t if a is None else cut(t, list(zip(a, b, strict=True))) for t, a, b in zip(text, starts, stops, strict=True)], dtype=object)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document once a pass, and once more cut to the first ``part`` words of a partial take.
+    """The mix itself: each document once a pass, and once more cut to the word ranges of a partial take.
 
     Returns the columns of ``docs``; n_chars, where there is one, follows the text.
     """
     row = F.struct(*[F.col(c) for c in docs.columns])
-    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "passes", "part")
-    takes = F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("passes").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    # the plan has a row for each of repeated rows, in any order: take them apart by their number
-    same = Window.partitionBy("_id").orderBy("passes", "part")
-    plan = plan.withColumn("_n", F.row_number().over(same))
-    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("_row"))))
-    taken = rows.join(plan, (rows["_id"].eqNullSafe(plan["_id"])) & (rows["_n"] == plan["_n"])).select("_row", F.explode(takes).alias("_part"))
-    words = F.regexp_extract_all(F.col("_row.text"), F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1))
-    text = F.when(F.col("_part").isNull(), F.col("_row.text")).otherwise(F.array_join(F.slice(words, 1, F.coalesce(F.col("_part"), F.lit(1)).cast("int")), " "))
+    named = ["_id", "_source", "_size"]
+    plan = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken", "passes", "part", "ranges")
+    # the plan has a row for each of repeated rows, in any order: rows of one id, source and size are taken apart by their number
+    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy(*named).orderBy("passes", "part", "ranges"))).where("taken > 0")
+    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("_size"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*named).orderBy(F.xxhash64("_row"))))
+    same = [rows[c].eqNullSafe(plan[c]) for c in [*named, "_n"]]
+    joined = rows.join(plan, same[0] & same[1] & same[2] & same[3])
+    whole = F.array_repeat(F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"), F.col("passes").cast("int"))
+    takes = F.when(F.col("part") > 0, F.concat(whole, F.array("ranges"))).otherwise(whole)
+    taken = joined.select("_row", F.explode(takes).alias("_part"))
+    text = _cut(F.col("_row.text"), F.col("_part.start"), F.col("_part.stop"))
     out = taken.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "text"], text.alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
