@@ -15,19 +15,21 @@ poses the T-occurrence problem over the inverted lists of its shingles.  It is s
    linked set also stands in one of the others.  Each set is first searched from the most central set it
    shares such a list with (the one with the highest r / s), which joins large groups of near copies into
    components along G edges instead of G * G.
-4. Components are cut into chunks of about ``BLOCK`` sets, each an index of its own.  A set asks every chunk
-   of another component that it shares a short list with and whose sizes leave a link possible, so what
-   moves grows with the sets and the chunks asked, not with pairs.
+4. Components are cut into chunks of about ``BLOCK`` sets, each an index of its own.  A set asks every chunk,
+   of its own component too, that it shares a short list with and whose sizes leave a link possible, so what
+   moves grows with the sets and the chunks asked, not with pairs.  A chunk answers with the number of
+   documents linked, and one set of each other component linked.
 5. ``divide_skip`` searches a chunk's inverted lists for a query: the short ones are merged (with a heap, or
    by sorting where they are long in sum), and counts that can still reach T are completed by binary probes
    of the long ones.
 
-Candidates of the same component need no search, since only components are returned.  No list, group
-or candidate count is capped.  Sets are named by 64-bit digests and shingles by 64-bit hashes.
+Links are counted, by sets and their copies, never listed as pairs.  No list, group or candidate count is
+capped.  Sets are named by 64-bit digests and shingles by 64-bit hashes.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; equal sets always
 link; rows with the same doc_id are told apart by their text; a component's id is its smallest non-null
-doc_id; an empty table gives an empty result.
+doc_id; sets that only rows with a null doc_id have are not searched, and link with their copies alone; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -275,6 +277,40 @@ def search(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def count_links(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b, links) by set and block asked: documents of the block's sets that link, and sets of other components.
+
+    ``asks`` (a, own, block), ``members`` (block, cid, component, copies).  Rows with a null ``b`` hold the number of
+    links, the others one linked set of each component but ``own``.
+    """
+    wanted = members.join(asks.select("block").distinct(), "block", "left_semi")
+    index = wanted.join(full.select("cid", "tokens"), "cid").select("block", F.lit(0).alias("kind"), "cid", "tokens", "component", "copies")
+    query = asks.join(full.select(F.col("cid").alias("a"), "tokens"), "a").select("block", F.lit(1).alias("kind"), F.col("a").alias("cid"), "tokens", F.col("own").alias("component"), F.lit(0).cast("long").alias("copies"))
+
+    def run(batches):
+        now, ids, sets, held, index, out = None, [], [], {}, None, ([], [], [])
+        for batch in batches:
+            for block, kind, cid, x, component, copies in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if block != now:
+                    now, ids, sets, held, index = block, [], [], {}, None
+                x = np.frombuffer(x, np.uint64)
+                if kind == 0:
+                    ids.append(cid), sets.append(x)
+                    held[cid] = (component, copies)
+                    continue
+                index = index or SetIndex(ids, sets)
+                good = [b for b in index.links(x) if b != cid]
+                if good:
+                    others = {held[b][0]: b for b in good if held[b][0] != component}
+                    out[0].extend([cid] * (1 + len(others))), out[1].extend([None, *others.values()])
+                    out[2].extend([sum(held[b][1] for b in good), *[0] * len(others)])
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
+            out = ([], [], [])
+
+    rows = index.unionByName(query).repartition("block").sortWithinPartitions("block", "kind", "cid")
+    return rows.mapInArrow(run, "a long, b long, links long")
+
+
 def short_lists(full: DataFrame, alive: DataFrame) -> DataFrame:
     """(token, cid, n, r): postings of the sets alive, without those unique to a set and those in its longest lists."""
 
@@ -306,9 +342,10 @@ def _possible(n1, r1, n2, r2):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of every document; see the module's text.
+    """(doc_id, n_shingles, class_id, component_id, n_links) of every document; see the module's text.
 
-    class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable by links.
+    class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable by links, and
+    n_links the number of other documents that the document links with.
     """
     sets, sets_at = save(shingle_table(docs, False, id_col, text_col), "shingles")
     classes, _ = save(sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
@@ -343,23 +380,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     homes = labelled.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     labelled, _ = save(labelled.join(homes, "home").select("cid", "component", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("block")), "blocks")
     inside, _ = save(lists.join(labelled, "cid"), "inside")
-    main = inside.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    x = inside.join(main, "token").where("component <> main").select("token", F.col("cid").alias("a"), "n", "r", F.col("component").alias("own"))
-    y = inside.groupBy("token", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("most"))
+    x = inside.select("token", F.col("cid").alias("a"), "n", "r", F.col("component").alias("own"))
+    y = inside.groupBy("token", "block").agg(F.count("*").alias("k"), F.min("cid").alias("c0"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("most"))
     # no set of the block can link unless some size of it fits, and some set shares enough
     fits = (5 * F.col("high") >= 4 * F.col("n")) & (4 * F.col("low") <= 5 * F.col("n")) & (4 * (F.col("n") + F.greatest(F.col("low"), F.expr("(4 * n + 4) div 5"))) <= 9 * F.least("r", "most"))
-    other = (F.col("c0") != F.col("own")) | (F.col("c1") != F.col("own"))
-    asks = x.join(y, "token").where(other & fits).select("a", "block").distinct()
-    more, _ = save(search(save(asks, "asks")[0], labelled.select("block", "cid"), full), "links")
-    joined = components(first.unionByName(more), keep)
+    other = (F.col("k") > 1) | (F.col("c0") != F.col("a"))
+    asks = x.join(y, "token").where(other & fits).select("a", "own", "block").distinct()
+    members = labelled.select("block", "cid", "component").join(classes.select("cid", "copies"), "cid")
+    more, _ = save(count_links(save(asks, "asks")[0], members, full), "links")
+    joined = components(first.unionByName(more.where("b is not null").select("a", "b")), keep)
+    counted = more.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("others"))
 
     named = classes.join(joined.select(F.col("id").alias("cid"), "component"), "cid")
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = named.join(lowest, "component").select("cid", "rep", "component_id")
     copied = classes.where("copies > 1").join(linked.select("cid"), "cid", "left_anti").select("cid", "rep", F.col("rep").alias("component_id"))
     groups = linked.unionByName(copied)
-    out = names.join(groups, "cid", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    groups = groups.join(classes.select("cid", "copies"), "cid").join(counted, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    out = names.join(groups.select("cid", "rep", "component_id", "n_links"), "cid", "left")
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
