@@ -495,6 +495,13 @@ def mail_links(spark, sf):
     return rows.select("conv_id", "turn", urls.mail_link(F.concat("role", F.lit("@x.example")), short, F.lit(True)).alias("link"))
 
 
+@query()
+def mail_links_whole(spark, sf):
+    """Links with the whole text of every turn; DuckDB's url_encode writes ``~`` and ``*`` in another way."""
+    link = urls.mail_link(F.concat("role", F.lit("@x.example")), F.col("text"), F.lit(True))
+    return table(spark, sf, "conversations").select("conv_id", "turn", link.alias("link"))
+
+
 @query("""with d as (select doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from documents), s as (select doc_id, source, t, 10 * cast(contains(lower(t), 'license') as int) + cast(length(t) > 1000 as int) as score from d),
 k as (select min(doc_id) as doc_id, t, max(score) as score from s where score > 0 group by t) select doc_id, cast(score as int) as score, row_number() over (order by score desc, doc_id) as place from k qualify place <= 100""")
 def flagship(spark, sf):
