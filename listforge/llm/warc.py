@@ -127,7 +127,7 @@ def convert(name: str, data: bytes) -> bytes:
         url = r.fields.get("URL", "-")
         head = {"WARC-Record-ID": record_id(name, r.offset), "WARC-Date": iso_date(r.fields.get("Archive-date", ""))}
         block = r.block
-        if url.startswith("filedesc:"):
+        if not r.offset:  # the version block; a page's url may look like its own
             head |= {"WARC-Type": "warcinfo", "WARC-Filename": name, "Content-Type": "application/warc-fields"}
             block = f"format: converted from ARC version {r.version}\r\n".encode()
         else:
