@@ -7,24 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import SMALL, spread_join
 
-def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, small: int = SMALL) -> DataFrame:
     """(id, component) for every id of ``edges`` (a, b); the component is its smallest id.
 
     Each round offers the smallest label of the neighbours' labels to an id and to the id its label names
     (so that whole trees hook, not their leaves alone), and the label's own label to the id.  Rounds go on
-    until no label changes; labels only fall, so that they end.  ``keep`` materialises a round's labels
-    (by default with checkpoint(), in the folder all executors share).  Null ends are dropped, loops
+    until no label changes; labels only fall, so that they end, without a cap.  ``keep`` materialises a round's
+    labels (by default with checkpoint(), in the folder all executors share).  Null ends are dropped, loops
     give an id of its own component, repeated edges count once.
+
+    Hubs and large components are joined by ``spread_join``: an id that is the end of a third of all edges, or
+    the label of a third of all ids, does not make one task.
     """
     keep = keep or (lambda df: df.checkpoint())
-    both = keep(edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a is not null and b is not null")).distinct())
+    there = edges.select("a", "b").where("a is not null and b is not null")
+    both = keep(there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = keep(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
     while True:
-        own = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        jumped = keep(labels.join(own, "component").select("id", "component", "jump"))
-        heard = both.join(jumped.select(F.col("id").alias("b"), F.col("jump").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        offers = jumped.join(heard, "id").select("id", "component", F.least("jump", "near").alias("low"), "near")
+        # only labels that have a smaller label themselves need to jump
+        low = labels.where("component < id").select(F.col("id").alias("component"), F.col("component").alias("next"))
+        jumped = keep(spread_join(labels, low, "component", "id", "left", small).select("id", "component", F.coalesce("next", "component").alias("jump")))
+        heard = spread_join(both, jumped.select(F.col("id").alias("b"), F.col("jump").alias("near")), "b", "a", "inner", small).groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        offers = keep(jumped.join(heard, "id").select("id", "component", F.least("jump", "near").alias("low"), "near"))
         hooks = offers.where("near < component").groupBy(F.col("component").alias("id")).agg(F.min("near").alias("hook"))
         moved = keep(offers.join(hooks, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "low", "hook").alias("component")))
         labels = moved.select("id", "component")

@@ -1,13 +1,34 @@
-"""Connected components on chains, whose diameter is as large as it gets."""
+"""Connected components on chains, whose diameter is as large as it gets, and on hubs."""
 
 import random
 
 from listforge.plans.components import components
+from listforge.plans.skew import spread_join
 
 
-def test_chain_of_a_thousand_with_shuffled_ids(spark):
-    ids = list(range(1000))
+def test_chains_of_five_thousand(spark):
+    n = 5000
+    ids = list(range(n))
     random.Random(0).shuffle(ids)
-    edges = list(zip(ids, ids[1:], strict=False)) + [(2000, 2001), (3000, 3000), (None, 5), (6, None)]
-    got = components(spark.createDataFrame(edges, "a long, b long").repartition(3))
-    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(1000)] + [(2000, 2000), (2001, 2000), (3000, 3000)]
+    chains = [ids, [10_000 + i for i in range(n)], [30_000 - i if i % 2 else 20_000 + i for i in range(n)]]
+    edges = [e for c in chains for e in zip(c, c[1:], strict=False)] + [(40_000, 40_001), (50_000, 50_000), (None, 5), (6, None)]
+    rounds = []
+    keep = lambda df: rounds.append(1) or df.checkpoint()
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(3), keep)
+    want = [(i, min(c)) for c in chains for i in c] + [(40_000, 40_000), (40_001, 40_000), (50_000, 50_000)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert (len(rounds) - 2) / 3 <= 20  # three tables a round
+
+
+def test_hubs_without_broadcasts(spark):
+    edges = [(0, i) for i in range(1, 300)] + [(i, 500 + i) for i in range(200)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.component for r in components(df, small=0).collect()} == {0}
+
+
+def test_spread_join_both_ways(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(60)] + [(99, None)], "id long, k long")
+    lookup = spark.createDataFrame([(0, "a"), (3, "b"), (7, "c"), (None, "d")], "k long, v string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        few, many = (sorted(map(str, spread_join(rows, lookup, "k", "id", how, small).collect())) for small in (10, 0))
+        assert few == many and few
