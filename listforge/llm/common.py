@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is configured (local runs)."""
+    """The folder all executors share; one of our own only in local runs, where none is configured."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         if at.isDefined():
             return at.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="listforge-")
         spark.sparkContext.setCheckpointDir(path)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -137,9 +140,14 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it counts at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def hashable(df: DataFrame) -> list[str]:
+    """Columns that hash functions take: maps have no order of their own."""
+    return [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+
+
+def keyed(df: DataFrame, name: str = "_row") -> tuple[DataFrame, str]:
+    """``df`` with a number of its own for each row, written down so that every later reading sees the same one."""
+    return save(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
 def n_words(col):

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.components import components
-from .common import bounded, drop_path, save, shingle_set, table
+from ..plans.skew import bounded, spread_join
+from .common import drop_path, save, shingle_set, table
 
 SHARE, PAGES = 0.9, 4
 #: Places of a page's sketch, bands they are compared in, and places in which sketches of near copies agree.

@@ -15,7 +15,7 @@ poses the T-occurrence problem over the inverted lists of its shingles.  It is s
    linked set also stands in one of the others.  Each set is first searched from the most central set it
    shares such a list with (the one with the highest r / s), which joins large groups of near copies into
    components along G edges instead of G * G.
-4. Components are cut into chunks of about ``BLOCK`` sets, each an index of its own.  A set asks every chunk,
+4. Components are cut into chunks of about ``BLOCK`` sets or ``SHINGLES`` shingles, each an index of its own.  A set asks every chunk,
    of its own component too, that it shares a short list with and whose sizes leave a link possible, so what
    moves grows with the sets and the chunks asked, not with pairs.  A chunk answers with the number of
    documents linked, and one set of each other component linked.
@@ -24,12 +24,14 @@ poses the T-occurrence problem over the inverted lists of its shingles.  It is s
    of the long ones.
 
 Links are counted, by sets and their copies, never listed as pairs.  No list, group or candidate count is
-capped.  Sets are named by 64-bit digests and shingles by 64-bit hashes.
+capped.  Sets have 128-bit digests: they go by 64 bits of these, and sets that agree in them by chance are
+renamed (``renamed``).  Shingles are 64-bit hashes, compared within pairs of sets.  Lists of more than ``HOT``
+sets, blocks of large components and copies of one text are dealt to many tasks.
 
 Defined cases: null, empty and blank texts have the empty set and link with nothing; equal sets always
 link; rows with the same doc_id are told apart by their text; a component's id is its smallest non-null
-doc_id; sets that only rows with a null doc_id have are not searched, and link with their copies alone; an
-empty table gives an empty result.
+doc_id, null where it has none; rows with a null doc_id link, and join others, like all rows; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,15 +48,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.components import components
-from .common import bounded, drop_path, mix64, save, shingle_set, table
+from ..plans.skew import bounded, spread_join
+from .common import drop_path, keyed, mix64, save, shingle_set, table
 
 SHINGLE = 5
 #: Postings that a chunk of documents, and a bucket of lists, hold about.
 CHUNK, BUCKET = 1_000_000, 400_000
-#: Sets that an index searched at once holds about.
-BLOCK = 512
+#: Sets, and shingles of these, that an index searched at once holds about.
+BLOCK, SHINGLES = 512, 2_000_000
 #: Rows (of one or two longs) up to which a table is broadcast; beyond it the join is shuffled.
 SMALL = 500_000
+#: Sets from which on a list is dealt to ``PIECES`` tasks.
+HOT, PIECES = 4096, 32
 #: Weight of a binary probe against a step of the merge when choosing how many lists are long.
 MU = 0.0085
 #: Entries of short lists up to which they are merged with a heap.
@@ -79,28 +84,48 @@ def required(s):
     return extra(least_overlap(s))
 
 
-def digest(x: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), "little", signed=True) or 1
+def digest(x: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """128-bit digest of a set: a name of ``bits`` bits, not 0, and the other half."""
+    d = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True) >> (64 - bits) or 1, int.from_bytes(d[8:], "little", signed=True)
 
 
-def shingle_table(docs: DataFrame, full: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, cid, tokens): set size, digest, and the posted (or all) shingles as little-endian bytes."""
+def shingle_table(docs: DataFrame, full: bool, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+    """(doc_id, n, cid, proof, tokens): set size, digest, and the posted (or all) shingles as little-endian bytes."""
 
     def run(batches):
         for batch in batches:
-            ids, ns, cids, blobs, held = [], [], [], [], 0
+            out, held = [], 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = shingle_set(text.as_py(), SHINGLE)
                 n = len(x)
-                ids.append(i), ns.append(n), cids.append(digest(x) if n else None)
-                blobs.append(x[: n if full else posted(n) if n else 0].tobytes())
-                held += len(blobs[-1])
+                blob = x[: n if full else posted(n) if n else 0].tobytes()
+                out.append((i, n, *(digest(x, bits) if n else (None, None)), blob))
+                held += len(blob)
                 if held > 8 << 20:
-                    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "cid", "tokens"])
-                    ids, ns, cids, blobs, held = [], [], [], [], 0
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(cids, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "cid", "tokens"])
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                    out, held = [], 0
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, cid long, tokens binary")
+    names, types = ["doc_id", "n", "cid", "proof", "tokens"], [pa.int64()] * 4 + [pa.binary()]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, cid long, proof long, tokens binary")
+
+
+def renamed(sets: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """``sets`` where those whose name stands in ``clashes`` (cid) get one that their whole digest gives."""
+    if clashes is None:
+        return sets
+    named = spread_join(sets, clashes.withColumn("clash", F.lit(True)), "cid", "proof", "left", SMALL)
+    own = F.coalesce(F.nullif(F.xxhash64("cid", "proof"), F.lit(0).cast("long")), F.lit(1).cast("long"))
+    return named.withColumn("cid", F.when(F.col("clash"), own).otherwise(F.col("cid"))).select(sets.columns)
+
+
+def in_blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (..., ``key``, cid, n) with ``block``: the sets of a key in blocks of about ``BLOCK`` sets or ``SHINGLES`` shingles."""
+    blocks = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks")).where("blocks > 1")
+    dealt = spread_join(rows, blocks, key, "cid", "left", SMALL)
+    return dealt.withColumn("block", F.xxhash64(key, F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))))).drop("blocks")
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +337,7 @@ def count_links(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFra
 
 
 def short_lists(full: DataFrame, alive: DataFrame) -> DataFrame:
-    """(token, cid, n, r): postings of the sets alive, without those unique to a set and those in its longest lists."""
+    """(token, cid, n, r, len): postings of the sets alive, without those unique to a set and those in its longest lists."""
 
     def run(batches):
         for batch in batches:
@@ -325,15 +350,33 @@ def short_lists(full: DataFrame, alive: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in (tokens, cids, ns, rs)], ["token", "cid", "n", "r"])
 
     lists = full.select("cid", "tokens").join(bounded(alive, SMALL), "cid").select("cid", "n", "r", "tokens").mapInArrow(run, "token long, cid long, n long, r long")
-    length = lists.groupBy("token").agg(F.count("*").alias("len")).where("len > 1")
+    lists, _ = save(lists, "postings")
+    length, _ = save(lists.groupBy("token").agg(F.count("*").alias("len")).where("len > 1"), "lengths")
+    # rows of long lists meet their length in a broadcast (or spread) join, those of short ones in a shuffled one
+    long = length.where(F.col("len") > HOT)
+    if long.isEmpty():
+        measured = lists.join(length, "token")
+    else:
+        rest = spread_join(lists, long.select("token"), "token", "cid", "left_anti", SMALL)
+        measured = spread_join(lists, long, "token", "cid", "inner", SMALL).unionByName(rest.join(length.where(F.col("len") <= HOT), "token"))
     own = Window.partitionBy("cid")
     n = F.col("n")
     least = F.expr("(4 * n + 4) div 5")
     all_posted = n - least + 1 + F.expr("n div 10")
-    ranked = lists.join(length, "token").withColumn("place", F.row_number().over(own.orderBy("len", "token"))).withColumn("kept", F.count("*").over(own))
+    ranked = measured.withColumn("place", F.row_number().over(own.orderBy("len", "token"))).withColumn("kept", F.count("*").over(own))
     # shingles that no other set posts come first in the order and use up places
     last = all_posted - (1 + F.expr("((4 * n + 4) div 5) div 10")) + 1
-    return ranked.where(all_posted - F.col("kept") + F.col("place") <= last).select("token", "cid", "n", "r")
+    return ranked.where(all_posted - F.col("kept") + F.col("place") <= last).select("token", "cid", "n", "r", "len")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of lists (token, cid, len) with the piece of their list that they belong to."""
+    return rows.withColumn("piece", F.when(F.col("len") > HOT, F.pmod(F.xxhash64("cid"), F.lit(PIECES))).otherwise(0))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """Rows by list (token, len) for each piece of their list."""
+    return rows.withColumn("piece", F.explode(F.when(F.col("len") > HOT, F.sequence(F.lit(0).cast("long"), F.lit(PIECES - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("len")
 
 
 def _possible(n1, r1, n2, r2):
@@ -341,70 +384,91 @@ def _possible(n1, r1, n2, r2):
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * F.least(r1, r2) >= 4 * (n1 + n2))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, n_links) of every document; see the module's text.
 
     class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable by links, and
     n_links the number of other documents that the document links with.
     """
-    sets, sets_at = save(shingle_table(docs, False, id_col, text_col), "shingles")
-    classes, _ = save(sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies")), "classes")
+    spark = docs.sparkSession
+    sets, sets_at = save(shingle_table(docs, False, id_col, text_col, bits), "shingles")
+    classed = lambda x: x.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("copies"), (F.min("proof") != F.max("proof")).alias("clash"))
+    classes, _ = save(classed(sets), "classes")
+    clashes = classes.where("clash").select("cid")
+    if clashes.isEmpty():
+        clashes = None
+    else:
+        sets = renamed(sets, clashes)
+        classes, _ = save(classed(sets), "classes")
     total = sets.select(F.sum(F.length("tokens")) / 8).first()[0] or 0
     shared = shared_counts(sets, int(total // BUCKET) + 1)
-    least = F.expr("(4 * n + 4) div 5")
-    left, _ = save(classes.where("rep is not null").join(shared, "cid").where(F.col("shared") >= 1 + F.expr("((4 * n + 4) div 5) div 10")).select("cid", "rep", "n"), "active")
+    left, _ = save(classes.join(shared, "cid").where(F.col("shared") >= 1 + F.expr("((4 * n + 4) div 5) div 10")).select("cid", "rep", "n"), "active")
     names, _ = save(sets.select("doc_id", "n", "cid"), "names")
-    drop_path(docs.sparkSession, sets_at)
-    again = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(bounded(left.select(F.col("rep").alias("doc_id")).distinct(), SMALL), "doc_id", "left_semi")
-    full, _ = save(shingle_table(again, True).join(bounded(left.select("cid"), SMALL), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    drop_path(spark, sets_at)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    again = texts.join(bounded(left.select(F.col("rep").alias("doc_id")).distinct(), SMALL), "doc_id", "left_semi")
+    if not left.where("rep is null").isEmpty():
+        again = again.unionByName(texts.where("doc_id is null"))
+    full = renamed(shingle_table(again, True, bits=bits), clashes)
+    full, _ = save(full.join(bounded(left.select("cid"), SMALL), "cid", "left_semi").dropDuplicates(["cid"]).select("cid", "tokens"), "sets")
     total = full.select(F.sum(F.length("tokens")) / 8).first()[0] or 0
     held = shared_counts(full, int(total // BUCKET) + 1).withColumnRenamed("shared", "r")
     alive, _ = save(left.select("cid", "n").join(held, "cid").where("r >= (4 * n + 4) div 5").select("cid", "n", "r"), "alive")
     lists, _ = save(short_lists(full, alive), "lists")
 
     # the most central set of each list
-    pivot = lists.groupBy("token").agg(F.max_by(F.struct("cid", "n", "r"), F.struct(F.col("r") / F.col("n"), "cid")).alias("p"), F.count("*").alias("len")).where("len > 1")
-    pivot = pivot.select("token", F.col("p.cid").alias("a"), F.col("p.n").alias("an"), F.col("p.r").alias("ar"))
-    stars = lists.join(pivot, "token").where((F.col("a") != F.col("cid")) & _possible(F.col("n"), F.col("r"), F.col("an"), F.col("ar"))).groupBy("cid", "a").agg(F.count("*").alias("k"))
-    stars = stars.groupBy("cid").agg(F.max_by("a", F.struct("k", "a")).alias("a"))
-    # a pivot's sets are searched in blocks by their hash
-    stars, _ = save(stars.select("a", "cid", F.xxhash64("a", F.pmod(F.xxhash64("cid"), F.lit(16))).alias("block")), "stars")
+    pivot = lists.groupBy("token").agg(F.max_by(F.struct("cid", "n", "r"), F.struct(F.col("r") / F.col("n"), "cid")).alias("p"), F.max("len").alias("len"), F.count("*").alias("k")).where("k > 1")
+    pivot = _copied(pivot.select("token", "len", F.col("p.cid").alias("a"), F.col("p.n").alias("an"), F.col("p.r").alias("ar")))
+    stars = _dealt(lists).join(pivot, ["token", "piece"]).where((F.col("a") != F.col("cid")) & _possible(F.col("n"), F.col("r"), F.col("an"), F.col("ar"))).groupBy("cid", "a").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    stars, _ = save(stars.groupBy("cid").agg(F.max_by("a", F.struct("k", "a")).alias("a"), F.max("n").alias("n")), "stars")
     keep = lambda df: save(df, "labels")[0]
-    first, _ = save(search(stars.select("a", "block").distinct(), stars.select("block", "cid"), full), "links")
+    rays, _ = save(in_blocks(stars, "a").select("a", "block", "cid"), "rays")
+    first, _ = save(search(rays.select("a", "block").distinct(), rays.select("block", "cid"), full), "links")
     named = components(first, keep)
 
-    labelled = alive.join(named.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    labelled = alive.select("cid", "n").join(named.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    labelled, _ = save(labelled.join(stars.select("cid", "a"), "cid", "left"), "labelled")
     # small components share the blocks of the pivot that their sets were searched from
-    labelled = labelled.join(labelled.groupBy("component").agg(F.count("*").alias("members")), "component").join(stars.select("cid", "a"), "cid", "left")
-    labelled = labelled.withColumn("home", F.when(F.col("members") * 4 >= BLOCK, F.col("component")).otherwise(F.coalesce("a", "component")))
-    homes = labelled.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    labelled, _ = save(labelled.join(homes, "home").select("cid", "component", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("blocks"))).alias("block")), "blocks")
+    large = labelled.groupBy("component").agg(F.count("*").alias("members")).where(F.col("members") * 4 >= BLOCK)
+    labelled = spread_join(labelled, large, "component", "cid", "left", SMALL)
+    labelled = labelled.withColumn("home", F.when(F.col("members").isNotNull(), F.col("component")).otherwise(F.coalesce("a", "component")))
+    homes, _ = save(labelled.select("cid", "n", "component", "home"), "homes")
+    labelled, _ = save(in_blocks(homes, "home").select("cid", "component", "block"), "blocks")
     inside, _ = save(lists.join(labelled, "cid"), "inside")
-    x = inside.select("token", F.col("cid").alias("a"), "n", "r", F.col("component").alias("own"))
-    y = inside.groupBy("token", "block").agg(F.count("*").alias("k"), F.min("cid").alias("c0"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("most"))
+    x = _dealt(inside).select("token", "piece", F.col("cid").alias("a"), "n", "r", F.col("component").alias("own"))
+    y = _copied(inside.groupBy("token", "block").agg(F.max("len").alias("len"), F.count("*").alias("k"), F.min("cid").alias("c0"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("r").alias("most")))
     # no set of the block can link unless some size of it fits, and some set shares enough
     fits = (5 * F.col("high") >= 4 * F.col("n")) & (4 * F.col("low") <= 5 * F.col("n")) & (4 * (F.col("n") + F.greatest(F.col("low"), F.expr("(4 * n + 4) div 5"))) <= 9 * F.least("r", "most"))
     other = (F.col("k") > 1) | (F.col("c0") != F.col("a"))
-    asks = x.join(y, "token").where(other & fits).select("a", "own", "block").distinct()
+    asks = x.join(y, ["token", "piece"]).where(other & fits).select("a", "own", "block").distinct()
     members = labelled.select("block", "cid", "component").join(classes.select("cid", "copies"), "cid")
     more, _ = save(count_links(save(asks, "asks")[0], members, full), "links")
     joined = components(first.unionByName(more.where("b is not null").select("a", "b")), keep)
     counted = more.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("others"))
 
-    named = classes.join(joined.select(F.col("id").alias("cid"), "component"), "cid")
+    named, _ = save(classes.join(joined.select(F.col("id").alias("cid"), "component"), "cid").select("cid", "rep", "copies", "component"), "named")
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = named.join(lowest, "component").select("cid", "rep", "component_id")
-    copied = classes.where("copies > 1").join(linked.select("cid"), "cid", "left_anti").select("cid", "rep", F.col("rep").alias("component_id"))
-    groups = linked.unionByName(copied)
-    groups = groups.join(classes.select("cid", "copies"), "cid").join(counted, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
-    out = names.join(groups.select("cid", "rep", "component_id", "n_links"), "cid", "left")
+    linked = spread_join(named, lowest, "component", "cid", "inner", SMALL).select("cid", "rep", "copies", "component_id")
+    copied = classes.where("copies > 1").join(linked.select("cid"), "cid", "left_anti").select("cid", "rep", "copies", F.col("rep").alias("component_id"))
+    groups = linked.unionByName(copied).join(counted, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+    groups, _ = save(groups.select("cid", "rep", "component_id", "n_links"), "groups")
+    # copies of one text may be a third of all rows
+    out = spread_join(names.withColumn("at", F.monotonically_increasing_id()), groups, "cid", "at", "left", SMALL)
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document, that with the smallest doc_id, of each component; all of those without shingles."""
-    groups = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
+    """One document of each component, that with the smallest doc_id; all of those without shingles.
+
+    Rows are told apart by a number of their own, so that repeated rows, rows that share a doc_id and rows
+    without one are treated as the documents they are.
+    """
+    rows, _ = keyed(docs)
+    groups = near_duplicates(rows.select("_row", "text"), "_row").where("n_links > 0").select("_row", "component_id")
+    groups, _ = save(groups.join(rows.select("_row", "doc_id"), "_row"), "members")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
+    dropped = groups.select("_row").join(kept, "_row", "left_anti")
+    return rows.join(bounded(dropped, SMALL), "_row", "left_anti").select(docs.columns)
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
