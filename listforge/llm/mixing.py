@@ -12,8 +12,8 @@ A source has at most ``SHARDS`` shards, so the apportionment handles a bounded n
 a source with a third of all rows is spread over that many.
 
 Defined cases: a null text has no words; a null source is a source of its own, after all others; a document
-without words and a source without words take 0; repeated rows are separate documents next to each other in
-the stream; an empty table gives an empty result.  Every figure depends on the rows and the seed only.
+without words and a source without words take 0; repeated rows, and rows that share an id, are separate documents
+next to each other in the stream; an empty table gives an empty result.  Every figure depends on the rows and the seed only.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import n_words, save, table
+from .common import hashable, keyed, n_words, save, table
 
 BLOCK, SHARDS = 64, 256
 #: Blocks that a source's shard holds at least, before it is split.
@@ -94,25 +94,29 @@ def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(give=give)[["skey", "shard", "words", "give"]]
 
 
-def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """(id, source, size, source_size, target, taken, passes, part, ranges): words the mix takes of each document.
 
     ``passes`` counts whole copies; ``part`` the words of one further, partial take (taken = passes * size + part),
     which are those of the document's word ranges ``ranges`` (start, stop), in order.
-    ``cap`` is a whole number, so that it bounds each document as it does its source.
+    ``cap`` is a whole number, so that it bounds each document as it does its source.  ``row_col`` names a column
+    with a number of each row's own, which the result carries as ``row``: ids need not be unique.
     """
     key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    base, _ = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("skey"), n_words(F.col(text_col)).alias("size")), "sizes")
+    # rows of one id keep their order in every run: by all their columns, and only then by their number
+    tie = F.xxhash64(*[F.col(c) for c in hashable(docs) if c != row_col])
+    number = F.col(row_col) if row_col else F.lit(0).cast("long")
+    base, _ = save(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("skey"), n_words(F.col(text_col)).alias("size"), tie.alias("tie"), number.alias("row")), "sizes")
     sized = targets(base.groupBy("skey").agg(F.sum("size").alias("source_size")), tuple(weights), share, cap)
     sources, _ = save(sized.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_source_quotas, "skey string, source_size long, target double, want long, blocks long"), "sources")
     n_shards = F.least(F.lit(SHARDS), F.greatest(F.lit(1), (F.col("source_size") / (LEAST * BLOCK)).cast("int")))
     placed = base.join(sources.select("skey", "source_size", "target", n_shards.alias("n_shards")), "skey")
     mark = F.xxhash64(F.lit(seed), F.col("id"))
-    placed, _ = save(placed.select("id", "source", "skey", "size", "source_size", "target", mark.alias("mark"), F.pmod(F.shiftright(mark, 20), F.col("n_shards")).alias("shard")), "placed")
+    placed, _ = save(placed.select("id", "row", "tie", "source", "skey", "size", "source_size", "target", mark.alias("mark"), F.pmod(F.shiftright(mark, 20), F.col("n_shards")).alias("shard")), "placed")
     shards = placed.groupBy("skey", "shard").agg(F.sum("size").alias("words")).join(sources.select("skey", "want", "blocks"), "skey").withColumn("room", F.col("words") * cap)
     quotas = shards.groupBy("skey").applyInPandas(_shard_quotas, "skey string, shard long, words long, give long")
 
-    stream = Window.partitionBy("skey", "shard").orderBy("mark", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    stream = Window.partitionBy("skey", "shard").orderBy("mark", F.col("id").asc_nulls_last(), "size", "tie", "row").rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.withColumn("stop", F.sum("size").over(stream)).join(quotas, ["skey", "shard"])
     rows = rows.withColumns({"full": F.expr("case when words = 0 then 0 else give div words end"), "rest": F.expr("case when words = 0 then 0 else give % words end")})
     rows = rows.withColumns({"nb": F.expr(f"words div {BLOCK}"), "rb": F.expr(f"rest div {BLOCK}"), "tail": F.expr(f"rest % {BLOCK}")})
@@ -136,7 +140,8 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: int =
     own = "transform(spans, s -> struct(greatest(s.start - (stop - size), 0L) as start, least(s.stop - (stop - size), size) as stop))"
     rows = rows.withColumn("ranges", F.expr(f"filter({own}, s -> s.start < s.stop)"))
     taken = F.col("full") * F.col("size") + F.col("part")
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), F.col("full").alias("passes"), "part", "ranges")
+    out = rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), F.col("full").alias("passes"), "part", "ranges", "row")
+    return out if row_col else out.drop("row")
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -162,17 +167,12 @@ def _cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once a pass, and once more cut to the word ranges of a partial take.
 
-    Returns the columns of ``docs``; n_chars, where there is one, follows the text.
+    Returns the columns of ``docs``; n_chars, where there is one, follows the text.  Plan and rows meet by a number
+    of each row's own, so that rows may share ids, sources and sizes.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    named = ["_id", "_source", "_size"]
-    plan = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken", "passes", "part", "ranges")
-    # the plan has a row for each of repeated rows, in any order: rows of one id, source and size are taken apart by their number
-    plan = plan.withColumn("_n", F.row_number().over(Window.partitionBy(*named).orderBy("passes", "part", "ranges"))).where("taken > 0")
-    rows = docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words(F.col("text")).alias("_size"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*named).orderBy(F.xxhash64("_row"))))
-    same = [rows[c].eqNullSafe(plan[c]) for c in [*named, "_n"]]
-    joined = rows.join(plan, same[0] & same[1] & same[2] & same[3])
+    rows, _ = keyed(docs)
+    plan = mix(rows, row_col="_row", **options).where("taken > 0").select(F.col("row").alias("_row"), "passes", "part", "ranges")
+    joined = rows.select("_row", F.struct(*[F.col(c) for c in docs.columns]).alias("_doc")).join(plan, "_row").drop("_row").withColumnRenamed("_doc", "_row")
     whole = F.array_repeat(F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"), F.col("passes").cast("int"))
     takes = F.when(F.col("part") > 0, F.concat(whole, F.array("ranges"))).otherwise(whole)
     taken = joined.select("_row", F.explode(takes).alias("_part"))

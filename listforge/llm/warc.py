@@ -3,15 +3,16 @@
 An ARC file starts with a version block whose body names the fields of all record headers; a record is a
 header line and as many bytes as its last field declares.  The converter reads header lines by the version
 found there and writes what WARC asks for instead: a record id derived from the archive's name and the
-record's offset, the date in ISO form, the type (warcinfo, response or revisit) and SHA-256 digests of block
-and payload.  Record ids and everything else depend on the input only, so a lost task writes the same bytes.
+record's offset, the date in ISO form, the type (warcinfo, response, resource or revisit) and SHA-256 digests of block
+and payload.  A revisit names the url and date of the record it refers to.  Record ids and everything else depend on the input only, so a lost task writes the same bytes.
 
 Archives are values of a binary column, written as a table in the shared folder: they can be read from any
 executor.  WARC records are gzip members, so that each can be read on its own.
 
 Defined cases: a null html is an empty payload; blanks and control characters in an url are percent-encoded
-and a null url is "-"; rows with a null id are responses; of rows that share the smallest id of a payload each
-is a response; an empty table gives an empty result; a record cut short raises ``ValueError``.
+and a null url is "-"; a row with a null id revisits the page with the smallest id, and is a response where its
+payload has none; of rows that share the smallest id of a payload each is a response; rows that share an id and
+differ in their payload are decided one by one; blocks that are no HTTP response become resource records; an empty table gives an empty result; a record cut short raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import spread_join
 from .common import save, table
 
 #: Header fields of ARC versions 1 and 2, in order, as their version blocks name them.
@@ -37,6 +40,8 @@ ARC_FIELDS = {
 REVISIT_BYTES = 100
 #: Bytes of payload an archive holds about.
 ARCHIVE_BYTES = 2 << 20
+#: Payloads that more than one row has, up to which they are broadcast; beyond it the join is shuffled.
+SMALL = 200_000
 DATE = "20240101000000"
 
 
@@ -71,6 +76,23 @@ def write_arc(name: str, pages: list[tuple], version: int = 1) -> bytes:
     return bytes(out) + b"\n"
 
 
+def header_values(line: str, fields: list[str]) -> list[str]:
+    """The fields of a header line; urls and content types may hold blanks that old crawlers left as they were.
+
+    The date, 14 digits after an address, divides the two: what stands before the address is the url, and what
+    stands between the date and as many fields as follow the content type is that.
+    """
+    words = line.split(" ")
+    if len(words) <= len(fields) or "Archive-date" not in fields or "Content-type" not in fields:
+        return words
+    date, kind = fields.index("Archive-date"), fields.index("Content-type")
+    after = len(fields) - kind - 1
+    for i in range(date, len(words) - after - 1):
+        if len(words[i]) == 14 and words[i].isdigit():
+            return [" ".join(words[: i - date + 1]), *words[i - date + 1 : i + 1], " ".join(words[i + 1 : len(words) - after]), *words[len(words) - after :]]
+    return words
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """Records of an ARC file, the version block first; its fields hold for all others."""
     at, fields, version = 0, ARC_FIELDS[1], 1
@@ -81,10 +103,11 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         end = data.find(b"\n", at)
         if end < 0:
             raise ValueError(f"header line cut short at {at}")
-        values = data[at:end].decode("utf-8", "replace").split(" ")
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
         if not at:  # the version block's own header tells its version by its length
-            version = 2 if len(values) == len(ARC_FIELDS[2]) else 1
+            version = 2 if len(line.split(" ")) == len(ARC_FIELDS[2]) else 1
             fields = ARC_FIELDS[version]
+        values = header_values(line, fields)
         if len(values) != len(fields):
             raise ValueError(f"header line at {at} has {len(values)} fields, version {version} has {len(fields)}")
         length = int(values[-1])
@@ -110,12 +133,18 @@ def iso_date(stamp: str) -> str:
 
 
 def http_parts(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """(head, header fields, payload) of an HTTP response."""
+    """(head, header fields, payload) of an HTTP response; a block that is none is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return b"", {}, block
     head, gap, payload = block.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")[1:]
     return head + gap, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, payload
 
 
+def _known(value: str | None, otherwise: str) -> str:
+    return value if value and value != "-" else otherwise
+
+
 def sha256(data: bytes) -> str:
     return f"sha256:{hashlib.sha256(data).hexdigest()}"
 
@@ -132,9 +161,14 @@ def convert(name: str, data: bytes) -> bytes:
             block = f"format: converted from ARC version {r.version}\r\n".encode()
         else:
             http, fields, payload = http_parts(block)
-            head |= {"WARC-Type": "response", "WARC-Target-URI": url, "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": sha256(payload), "X-Payload-Bytes": str(len(payload))}
+            # what did not come by HTTP (dns: records, files of other schemes) is a resource of the type declared
+            kind = {"WARC-Type": "response", "Content-Type": "application/http; msgtype=response"} if http else {"WARC-Type": "resource", "Content-Type": _known(r.fields.get("Content-type"), "application/octet-stream")}
+            head |= kind | {"WARC-Target-URI": url, "WARC-Payload-Digest": sha256(payload), "X-Payload-Bytes": str(len(payload))}
+            address = r.fields.get("IP-address", "-")
+            if address not in ("-", "0.0.0.0"):
+                head["WARC-IP-Address"] = address
             if "x-refers-to" in fields:
-                head |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To": fields["x-refers-to"], "WARC-Truncated": "length"}
+                head |= {"WARC-Type": "revisit", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To": fields["x-refers-to"], "WARC-Refers-To-Target-URI": fields.get("x-refers-to-url", "-"), "WARC-Refers-To-Date": iso_date(r.fields.get("Archive-date", "")), "WARC-Truncated": "length"}
                 block = http
             if "x-page-id" in fields:
                 head["X-Page-Id"] = fields["x-page-id"]
@@ -159,34 +193,42 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload is stored with another one."""
+def marked(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, refers_to, refers_url): pages, each with the page that stores its payload if another does.
+
+    Each row is decided by its own payload's digest and page_id, so rows that share an id may differ.
+    """
     data = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    sums = pages.select("page_id", F.sha2(data, 256).alias("sha"), F.octet_length(data).alias("n")).where(F.col("n") >= REVISIT_BYTES)
-    first = sums.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("k")).where("k > 1 and refers_to is not null").select("sha", "refers_to")
-    return sums.join(first, "sha").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.when(F.octet_length(data) >= REVISIT_BYTES, F.unhex(F.sha2(data, 256))).alias("sha"))
+    first = rows.where("sha is not null").groupBy("sha").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("k"))
+    first, _ = save(first.where("k > 1 and first is not null").select("sha", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url")), "payloads")
+    met = spread_join(rows, first, "sha", "url", "left", SMALL)
+    other = ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    return met.select("page_id", "url", "html", F.when(other, F.col("refers_to")).alias("refers_to"), F.when(other, F.col("refers_url")).alias("refers_url"))
 
 
-def _pack(held: list[tuple]) -> pa.RecordBatch:
-    key = hashlib.sha256(repr([(u, h, len(p)) for u, h, p in held]).encode()).hexdigest()[:16]
+def _pack(held: list[tuple], place: str) -> pa.RecordBatch:
+    key = hashlib.sha256(repr([place, *((u, h, hashlib.sha256(p).digest()) for u, h, p in held)]).encode()).hexdigest()[:16]
     version = 1 + int(key, 16) % 2
     return pa.record_batch([pa.array([f"{key}.arc"]), pa.array([version], pa.int32()), pa.array([write_arc(f"{key}.arc", held, version)], pa.binary())], ["name", "version", "arc"])
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, refers_to) rows to archives of about ``ARCHIVE_BYTES``."""
-    held, size = [], 0
+    """(page_id, url, html, refers_to, refers_url) rows to archives of about ``ARCHIVE_BYTES``, named by place and content."""
+    held, size, done, task = [], 0, 0, TaskContext.get().partitionId()
     for batch in batches:
-        for page, url, html, refers in zip(*batch.columns, strict=True):
+        for page, url, html, refers, refers_url in zip(*batch.columns, strict=True):
             payload = (html.as_py() or "").encode()
-            head = ({"X-Page-Id": page.as_py()} if page.is_valid else {}) | ({"X-Refers-To": refers.as_py()} if refers.is_valid else {})
+            head = {"X-Page-Id": page.as_py()} if page.is_valid else {}
+            if refers.is_valid:
+                head |= {"X-Refers-To": refers.as_py(), "X-Refers-To-Url": _url(refers_url.as_py())}
             held.append((url.as_py(), head, payload))
             size += len(payload)
             if size >= ARCHIVE_BYTES:
-                yield _pack(held)
-                held, size = [], 0
+                yield _pack(held, f"{task}.{done}")
+                held, size, done = [], 0, done + 1
     if held:
-        yield _pack(held)
+        yield _pack(held, f"{task}.{done}")
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +238,9 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([f"{stem}.warc.gz"]), pa.array([convert(f"{stem}.arc", arc.as_py())], pa.binary())], ["name", "warc"])
 
 
-def _marked(pages: DataFrame) -> DataFrame:
-    """Pages with the page a revisit refers to, which its archive names in the record's headers."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(revisits(pages), "page_id", "left")
-    return rows.select("page_id", "url", "html", "refers_to")
-
-
 def archives(pages: DataFrame) -> DataFrame:
     """(name, version, arc): legacy archives of the pages."""
-    return _marked(pages).mapInArrow(_write, "name string, version int, arc binary")
+    return marked(pages).mapInArrow(_write, "name string, version int, arc binary")
 
 
 def converted(arcs: DataFrame) -> DataFrame:
@@ -214,11 +250,11 @@ def converted(arcs: DataFrame) -> DataFrame:
 
 def rewritten(pages: DataFrame) -> DataFrame:
     """(name, warc): both steps in one Python worker, archive by archive."""
-    return _marked(pages).mapInArrow(lambda batches: _convert(_write(batches)), "name string, warc binary")
+    return marked(pages).mapInArrow(lambda batches: _convert(_write(batches)), "name string, warc binary")
 
 
 def records(warcs: DataFrame) -> DataFrame:
-    """Response and revisit records of WARC archives, one row each."""
+    """Response, resource and revisit records of WARC archives, one row each."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "payload"]
 
     def run(batches):
@@ -226,9 +262,9 @@ def records(warcs: DataFrame) -> DataFrame:
             for warc in batch.column(0):
                 rows = []
                 for f, block in read_warc(warc.as_py()):
-                    if f["WARC-Type"] not in ("response", "revisit"):
+                    if f["WARC-Type"] not in ("response", "revisit", "resource"):
                         continue
-                    payload = http_parts(block)[2] if f["WARC-Type"] == "response" else None
+                    payload = block if f["WARC-Type"] == "resource" else http_parts(block)[2] if f["WARC-Type"] == "response" else None
                     if payload is not None and sha256(payload) != f["WARC-Payload-Digest"]:
                         raise ValueError(f"payload of {f['WARC-Record-ID']} is damaged")
                     page, refers = (int(f[k]) if k in f else None for k in ("X-Page-Id", "X-Refers-To"))
