@@ -7,22 +7,28 @@ conversation.  Dynamic programming over the automaton's states finds the cheapes
 
 A turn is a min-plus matrix over the states, and matrices compose, so a conversation is cut into chunks of
 ``CHUNK`` turn numbers: each chunk gives the matrix of its turns, the matrices of a conversation fix the states at
-the chunks' ends, and each chunk is then repaired on its own.  A conversation of any length is never gathered.
+the chunks' ends, and each chunk is then repaired on its own.  A conversation of any length is never gathered;
+rows that share a number, null ones too, are cut by role and by ranges of a hash of their text.
 
-Defined cases: identical rows count once; turns with the same number are ordered by role and text; null turn
-numbers come last, null roles are unknown ones (relabelled at a cost of 1), null texts are empty; a null
+Defined cases: identical rows count once; turns with the same number are ordered by role and a hash of their text;
+control tokens in a text are escaped (``escaped``, undone by ``unescaped``); null turn numbers come last, null roles are unknown ones (relabelled at a cost of 1), null texts are empty; a null
 conversation id is a conversation of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.skew import spread_join
 from .common import save, table
 
 CHUNK = 1024
+#: Rows from which on the turns of a chunk, which may share their numbers, are dealt to several.
+FULL = 4 * CHUNK
 #: States: the role of the last turn written.
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
@@ -110,8 +116,17 @@ def repair(roles: list[int], start: int = START, stop: int | None = None) -> lis
     return out[::-1]
 
 
+def escaped(text: str) -> str:
+    """Text in which no control token stands: "<|" becomes "<\\|", and a backslash is added where there are some."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+
+
 def turn_text(role: int, text: str = "") -> str:
-    return f"<|im_start|>{ROLES[role]}\n{text}"
+    return f"<|im_start|>{ROLES[role]}\n{escaped(text)}"
 
 
 CLOSE = "<|im_end|>\n"
@@ -131,56 +146,108 @@ def _by_key(batches, n_keys: int):
         yield key, rows
 
 
-def repaired(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, chunk, place, role_in, role, inserted, merged, action, piece): one row for each turn.
+#: What names a chunk: its turn numbers and, where more rows than ``FULL`` share these, one of them, a role and a range of hashes.
+PARTS = ("conv_id", "chunk", "p_turn", "p_role", "p_hash")
+PART_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+PART_SCHEMA = "conv_id long, chunk long, p_turn long, p_role string, p_hash long"
 
-    The pieces of a conversation in the order of (chunk, place) make the rendered, repaired sequence.
-    """
+
+def _order():
+    return [*(F.asc_nulls_first(c) for c in PARTS), F.asc_nulls_last("turn"), F.asc_nulls_first("role"), F.asc("mark"), F.asc("text")]
+
+
+def chunked(turns: DataFrame) -> DataFrame:
+    """Distinct turns with their chunk: ``CHUNK`` turn numbers, or less where many rows share a number."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    last = F.lit((1 << 62) // CHUNK)
-    rows, _ = save(rows.withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), last)), "turns")
-    order = ("conv_id", "chunk", F.asc_nulls_last("turn"), F.asc_nulls_first("role"), "text")
+    rows = rows.withColumns({"chunk": F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit((1 << 62) // CHUNK)), "mark": F.xxhash64("text")})
+    rows, _ = save(rows.withColumn("key", F.xxhash64("conv_id", "chunk")), "turns")
+    full = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("parts"), F.count("*").alias("n")).where(F.col("n") > FULL).select("key", "parts")
+    rows = spread_join(rows, full, "key", "mark", "left")
+    split = F.col("parts").isNotNull()
+    # the order of a chunk is by turn, role and hash, so ranges of these are runs of it
+    hashed = F.floor(F.shiftright("mark", 32) / F.ceil(F.lit(float(1 << 32)) / F.col("parts")))
+    return rows.select("conv_id", "chunk", F.when(split, F.col("turn")).alias("p_turn"), F.when(split, F.col("role")).alias("p_role"), F.when(split, hashed).alias("p_hash"), "turn", "role", "mark", "text")
+
+
+def _repairs(turns: DataFrame, emit, schema: str) -> DataFrame:
+    """``emit(part, done, run, before, final)`` batches of every repaired chunk."""
+    rows, _ = save(chunked(turns), "chunks")
+    n = len(PARTS)
 
     def matrices(batches):
-        for key, run in _by_key(batches, 2):
-            yield pa.record_batch([pa.array([x], pa.int64()) for x in key] + [pa.array([chunk_costs([role_of(r[1]) for r in run])], pa.list_(pa.int64()))], ["conv_id", "chunk", "m"])
+        for key, run in _by_key(batches, n):
+            yield pa.record_batch([pa.array([x], t) for x, t in zip(key, PART_TYPES, strict=True)] + [pa.array([chunk_costs([role_of(r[1]) for r in run])], pa.list_(pa.int64()))], [*PARTS, "m"])
 
-    costs = rows.select("conv_id", "chunk", "turn", "role", "text").repartition("conv_id", "chunk").sortWithinPartitions(*order).select("conv_id", "chunk", "turn", "role").mapInArrow(matrices, "conv_id long, chunk long, m array<long>")
+    costs = rows.repartition(*PARTS).sortWithinPartitions(*_order()).select(*PARTS, "turn", "role").mapInArrow(matrices, f"{PART_SCHEMA}, m array<long>")
 
     def states(batches):
-        for key, run in _by_key(batches, 1):
-            found = ends([m for _, m in run])
-            n = len(run)
-            yield pa.record_batch([pa.array([key[0]] * n, pa.int64()), pa.array([c for c, _ in run], pa.int64()), pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32()), pa.array([i == n - 1 for i in range(n)])], ["conv_id", "chunk", "before", "after", "final"])
+        for (conv,), run in _by_key(batches, 1):
+            found = ends([r[-1] for r in run])
+            columns = [[conv] * len(run), *zip(*(r[:-1] for r in run), strict=True)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, PART_TYPES, strict=True)] + [pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32()), pa.array([i == len(run) - 1 for i in range(len(run))])], [*PARTS, "before", "after", "final"])
 
-    fixed = costs.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(states, "conv_id long, chunk long, before int, after int, final boolean")
-    fixed = fixed.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "before", "after", "final")
-    joined = rows.join(fixed, rows["conv_id"].eqNullSafe(fixed["c"]) & (rows["chunk"] == fixed["k"]))
+    fixed = costs.repartition("conv_id").sortWithinPartitions(*(F.asc_nulls_first(c) for c in PARTS)).mapInArrow(states, f"{PART_SCHEMA}, before int, after int, final boolean")
+    fixed = fixed.select(*(F.col(c).alias(f"_{c}") for c in PARTS), "before", "after", "final")
+    same = [rows[c].eqNullSafe(fixed[f"_{c}"]) for c in PARTS]
+    joined = rows.join(fixed, same[0] & same[1] & same[2] & same[3] & same[4])
 
     def render(batches):
-        for (conv, chunk), run in _by_key(batches, 2):
-            before, final = run[0][3], run[0][5]
-            out = []
-            done = repair([role_of(r[1]) for r in run], before, run[0][4])
-            for i, ((role, via, merged), (turn, name, text, *_)) in enumerate(zip(done, run, strict=True)):
-                piece = f"\n{text}" if merged else (CLOSE if before != START else "") + (turn_text(via) + CLOSE if via else "") + turn_text(role, text)
-                if final and i == len(run) - 1:
-                    piece += CLOSE + "".join(turn_text(r) + CLOSE for r in CLOSING[role])
-                kept = role == role_of(name)
-                out.append((conv, turn, chunk, i, name, ROLES[role], ROLES[via] or None, merged, "+".join(x for x, y in (("insert", via), ("merge", merged), ("relabel", not kept)) if y) or "keep", piece))
-                before = role
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["conv_id", "turn", "chunk", "place", "role_in", "role", "inserted", "merged", "action", "piece"])
-
-    schema = "conv_id long, turn long, chunk long, place long, role_in string, role string, inserted string, merged boolean, action string, piece string"
-    return joined.select("conv_id", "chunk", "turn", "role", "text", "before", "after", "final").repartition("conv_id", "chunk").sortWithinPartitions(*order).mapInArrow(render, schema)
+        for key, run in _by_key(batches, n):
+            before, after, final = run[0][3:]
+            yield emit(key, repair([role_of(r[1]) for r in run], before, after), run, before, final)
+
+    return joined.repartition(*PARTS).sortWithinPartitions(*_order()).select(*PARTS, "turn", "role", "text", "before", "after", "final").mapInArrow(render, schema)
+
+
+def _pieces(done, run, before: int, final: bool):
+    """The text of each turn of a chunk, with what is inserted before it and what closes the conversation."""
+    for i, ((role, via, merged), (_, _, text, *_)) in enumerate(zip(done, run, strict=True)):
+        piece = f"\n{escaped(text)}" if merged else (CLOSE if before != START else "") + (turn_text(via) + CLOSE if via else "") + turn_text(role, text)
+        if final and i == len(run) - 1:
+            piece += CLOSE + "".join(turn_text(r) + CLOSE for r in CLOSING[role])
+        before = role
+        yield piece
+
+
+def repaired(turns: DataFrame) -> DataFrame:
+    """One row for each turn: its chunk and place in it, the role given and repaired, what was done, and its piece of text.
+
+    The pieces of a conversation in the order of ``PARTS`` and place make the rendered, repaired sequence.
+    """
+
+    def emit(key, done, run, before, final):
+        out = []
+        for i, ((role, via, merged), (turn, name, *_), piece) in enumerate(zip(done, run, _pieces(done, run, before, final), strict=True)):
+            action = "+".join(x for x, y in (("insert", via), ("merge", merged), ("relabel", role != role_of(name))) if y) or "keep"
+            out.append((*key, turn, i, name, ROLES[role], ROLES[via] or None, merged, action, piece))
+        types = [*PART_TYPES, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [*PARTS, "turn", "place", "role_in", "role", "inserted", "merged", "action", "piece"])
+
+    return _repairs(turns, emit, f"{PART_SCHEMA}, turn long, place long, role_in string, role string, inserted string, merged boolean, action string, piece string")
+
+
+def formatted(turns: DataFrame) -> DataFrame:
+    """The repaired, rendered conversations: one row each, or one for each chunk where they are longer than one.
+
+    (conv_id, chunk, ..., turns, kept, relabelled, merged, inserted, text): ``inserted`` counts empty turns, those
+    that close the conversation too.  Texts are escaped, so that no turn can be forged in them.
+    """
+
+    def emit(key, done, run, before, final):
+        relabelled = sum(role != role_of(name) for (role, _, _), (_, name, *_) in zip(done, run, strict=True))
+        merged, inserted = sum(m for _, _, m in done), sum(v > 0 for _, v, _ in done) + (len(CLOSING[done[-1][0]]) if final else 0)
+        kept = sum(role == role_of(name) and not merged and not via for (role, via, merged), (_, name, *_) in zip(done, run, strict=True))
+        row = (*key, len(run), kept, relabelled, merged, inserted, "".join(_pieces(done, run, before, final)))
+        return pa.record_batch([pa.array([x], t) for x, t in zip(row, [*PART_TYPES, *[pa.int64()] * 5, pa.string()], strict=True)], [*PARTS, "turns", "kept", "relabelled", "merged", "inserted", "text"])
+
+    return _repairs(turns, emit, f"{PART_SCHEMA}, turns long, kept long, relabelled long, merged long, inserted long, text string")
 
 
 def rendered(pieces: DataFrame) -> DataFrame:
     """(conv_id, text) of conversations that fit in a row."""
-    parts = F.array_sort(F.collect_list(F.struct("chunk", "place", "piece")))
+    parts = F.array_sort(F.collect_list(F.struct(*PARTS, "place", "piece")))
     return pieces.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"))
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:
-    return repaired(table(spark, sf_dir, "conversations"))
+    return formatted(table(spark, sf_dir, "conversations"))

@@ -54,8 +54,8 @@ class Tree:
     def fingerprint(self) -> str:
         return f"{self.root}:" + "/".join("|".join("".join(p[:4].hex() for p in pieces) for _, pieces in self.paragraphs[a:b]) for _, a, b in self.sections)
 
-    def pieces(self) -> Counter:
-        return Counter(p for _, ps in self.paragraphs for p in ps)
+    def size(self) -> int:
+        return sum(len(ps) for _, ps in self.paragraphs)
 
 
 def _paragraph(line: str) -> tuple[bytes, list[bytes]]:
@@ -81,13 +81,39 @@ def tree(text: str, before: Tree | None = None, same: int = 0) -> Tree:
     return Tree(text, paragraphs, sections, root)
 
 
+def _unmatched(xs: list, ys: list, key) -> tuple[list, list]:
+    """The members of both lists that are left when equal ones are matched, one for one."""
+    left = Counter(map(key, ys))
+    rest = []
+    for x in xs:
+        if left[key(x)] > 0:
+            left[key(x)] -= 1
+        else:
+            rest.append(x)
+    left = Counter(map(key, xs))
+    other = []
+    for y in ys:
+        if left[key(y)] > 0:
+            left[key(y)] -= 1
+        else:
+            other.append(y)
+    return rest, other
+
+
 def likeness(a: Tree, b: Tree) -> float:
+    """Share of pieces in common, found from the root down: equal sections and paragraphs are matched as they are, and
+    only branches that differ are opened.  Pieces go by the digits that fingerprints hold, so that the figure follows from these.
+    """
     if a.root == b.root:
         return 1.0
-    x, y = a.pieces(), b.pieces()
-    total = x.total() + y.total()
-    # texts that differ in the order of their pieces only are no equal texts
-    return min(2 * (x & y).total() / total, 1 - 1 / (total + 1)) if total else 0.0
+    total = a.size() + b.size()
+    if not total:
+        return 0.0
+    xs, ys = _unmatched(a.sections, b.sections, lambda s: s[0])
+    xs, ys = _unmatched([p for _, i, j in xs for p in a.paragraphs[i:j]], [p for _, i, j in ys for p in b.paragraphs[i:j]], lambda p: p[0])
+    xs, ys = _unmatched([h[:4] for _, ps in xs for h in ps], [h[:4] for _, ps in ys for h in ps], lambda h: h)
+    # what is left unmatched is all that is not in common; texts that differ in the order of their pieces only are no equal texts
+    return min(1 - (len(xs) + len(ys)) / total, 1 - 1 / (total + 1))
 
 
 def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
@@ -151,14 +177,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every document and of its edited text, with their likeness and that of the next document."""
-    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    """Fingerprints of every document and of its edited text, with their likeness and that of the next document.
+
+    ``edited_lines`` counts the lines where the two trees differ, ``first_edited`` is the first of them (from 0).
+    """
+    names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_lines", "first_edited"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 
     def row(i, a: Tree, b: Tree) -> tuple:
         text, same = edited(a.text, b.text)
         e = tree(text, a, same)
-        return i, len(a.text), hashlib.sha256(text.encode()).hexdigest(), a.fingerprint(), e.fingerprint(), likeness(a, e), likeness(a, b)
+        places = differing(a, e)
+        return i, len(a.text), hashlib.sha256(text.encode()).hexdigest(), a.fingerprint(), e.fingerprint(), likeness(a, e), likeness(a, b), len(places), max(places[0]) if places else None
 
     def run(batches):
         part, held, closed, out, size = None, None, False, [], 0
@@ -179,7 +209,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    schema = f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_lines long, first_edited long"
     return with_next(docs, id_col, text_col).mapInArrow(run, schema)
 
 

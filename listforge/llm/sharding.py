@@ -11,12 +11,13 @@ and text are numbered one after the other; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save, table
+from .common import save, shared_dir, table
 
 SLOTS = 4096
 
@@ -78,14 +79,46 @@ def rebalanced(old: dict[int, int], weights: dict[int, int], shards: int, slack:
     return new
 
 
-def stored_map(spark: SparkSession, shard_of: dict[int, int], version: int, weights: dict[int, tuple[int, int]] | None = None) -> DataFrame:
-    """The map as a table in the shared folder: (vslot, shard, version, first: number of its first record in the shard)."""
+def versions(spark: SparkSession, at: str) -> list[int]:
+    """Versions of the map stored under the folder ``at``, in order; none where there is no folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{n}/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in done)
+
+
+def store_map(spark: SparkSession, at: str, shard_of: dict[int, int], version: int) -> int:
+    """Writes a version of the map, (slot, shard, version), under ``at``; versions are never overwritten."""
+    rows = [(slot, shard_of[slot], version) for slot in sorted(shard_of)]
+    spark.createDataFrame(rows, "vslot int, shard int, version int").coalesce(1).write.parquet(f"{at}/v{version}")
+    return version
+
+
+def load_map(spark: SparkSession, at: str, version: int | None = None) -> tuple[dict[int, int], int]:
+    """(slot to shard, version): the version asked for, or the last one."""
+    found = versions(spark, at)
+    if not found or (version is not None and version not in found):
+        raise ValueError(f"no version {'of the map' if version is None else version} under {at}")
+    version = found[-1] if version is None else version
+    return {r.vslot: r.shard for r in spark.read.parquet(f"{at}/v{version}").collect()}, version
+
+
+def grow(spark: SparkSession, at: str, weights: dict[int, int], shards: int) -> int:
+    """Stores the next version of the map, edited for ``shards`` shards and the slots' present bytes."""
+    shard_of, version = load_map(spark, at)
+    return store_map(spark, at, rebalanced(shard_of, weights, shards), version + 1)
+
+
+def numbered_map(spark: SparkSession, at: str, weights: dict[int, tuple[int, int]], version: int | None = None) -> DataFrame:
+    """(vslot, shard, version, first): a stored map with the number of each slot's first record in its shard."""
+    shard_of, version = load_map(spark, at, version)
     first, rows = dict.fromkeys(shard_of.values(), 0), []
     for slot in sorted(shard_of):
         shard = shard_of[slot]
         rows.append((slot, shard, version, first[shard]))
-        first[shard] += (weights or {}).get(slot, (0, 0))[1]
-    return save(spark.createDataFrame(rows, "vslot int, shard int, version int, first long").coalesce(1), f"slot-map-v{version}")[0]
+        first[shard] += weights.get(slot, (0, 0))[1]
+    return spark.createDataFrame(rows, "vslot int, shard int, version int, first long")
 
 
 def placed(rows: DataFrame, slot_map: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -95,12 +128,23 @@ def placed(rows: DataFrame, slot_map: DataFrame, id_col: str = "doc_id") -> Data
     return numbered.join(F.broadcast(slot_map), "vslot").withColumn("slot", F.col("first") + F.col("n")).drop("n", "first")
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, shard, slot, vslot, version): shards of nearly equal bytes."""
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", at: str | None = None) -> DataFrame:
+    """(id, size, text_crc32, shard, slot, vslot, version): shards of nearly equal bytes.
+
+    The map is kept under the folder ``at``: its first version is made there if it has none, and its last one is
+    edited to a further version if it is for another number of shards; else it stays as it is.  Without a folder
+    the map is made anew in the shared one.
+    """
+    spark = docs.sparkSession
+    at = at or f"{shared_dir(spark).rstrip('/')}/slot-map-{uuid.uuid4().hex}"
     rows, _ = save(slotted(docs, id_col, text_col), "slotted")
     weights = slot_weights(rows)
-    shard_of = first_map({s: w[0] for s, w in weights.items()}, shards)
-    return placed(rows, stored_map(docs.sparkSession, shard_of, 1, weights), id_col)
+    sizes = {s: w[0] for s, w in weights.items()}
+    if not versions(spark, at):
+        store_map(spark, at, first_map(sizes, shards), 1)
+    elif {*load_map(spark, at)[0].values()} != {*range(shards)}:
+        grow(spark, at, sizes, shards)
+    return placed(rows, numbered_map(spark, at, weights), id_col)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

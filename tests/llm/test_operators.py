@@ -81,7 +81,7 @@ def test_representatives_keep_one_of_each_group(docs):
     kept = ngram_join.representatives(docs)
     assert kept.columns == docs.columns
     low = {d: c for d, _, c in brute_components([(r[0], r[1]) for r in rows()])}
-    assert {r.doc_id for r in kept.collect()} == {d for d, c in low.items() if d == c}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, c in low.items() if d == c)
 
 
 def test_mix(docs, empty):
@@ -218,7 +218,7 @@ def test_chat(spark):
     assert got.count() == len(data) - 1
     text = {r.conv_id: r.text for r in chat.rendered(got).collect()}
     assert text[1] == "<|im_start|>user\nhi\nagain<|im_end|>\n<|im_start|>assistant\nyes<|im_end|>\n"
-    assert text[None] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n" or text[None].endswith("<|im_start|>assistant\n<|im_end|>\n")
+    assert text[None] == "<|im_start|>user\ns<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert text[4] == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for _, _, r, t, _ in data[-2600:])
     assert all(re.fullmatch(r"(<\|im_start\|>system\n[^<]*<\|im_end\|>\n)?(<\|im_start\|>user\n[^<]*<\|im_end\|>\n<\|im_start\|>assistant\n[^<]*<\|im_end\|>\n)*", t) for t in text.values())
     assert chat.repaired(turns.limit(0)).collect() == []
@@ -243,11 +243,11 @@ def test_pipeline_stages_against_brute_force(spark, docs, tmp_path):
     columns = at.columns
     clean = corpus_pipeline.STAGES[0][1](spark, at, str(tmp_path))
     assert clean.columns == columns
-    left = sorted((r.doc_id, r.text) for r in clean.collect())
-    assert left == sorted((r[0], r[1]) for r in rows() if "idiot" not in (r[1] or "")) or len(left) == len(rows()) - 1
+    left = [(r.doc_id, r.text) for r in clean.collect()]
+    assert sorted(left, key=str) == sorted(((r[0], r[1]) for r in rows() if "idiot" not in (r[1] or "")), key=str)
     kept = corpus_pipeline.STAGES[1][1](spark, clean, str(tmp_path))
     low = {d: c for d, _, c in brute_components([(d, t) for d, t in left])}
-    assert kept.columns == columns and {r.doc_id for r in kept.collect()} == {d for d, c in low.items() if d == c}
+    assert kept.columns == columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, c in low.items() if d == c)
     mixed = corpus_pipeline.STAGES[2][1](spark, kept, str(tmp_path))
     assert mixed.columns == columns
     out = corpus_pipeline.run(spark, str(tmp_path))
