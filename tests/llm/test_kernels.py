@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from listforge.llm import ann, bpe, chat, html_extract, merkle, mixing, ngram_join, sharding, toxicity, warc
+from listforge.llm import bpe, chat, html_extract, merkle, mixing, ngram_join, sharding, toxicity, warc
 from listforge.llm.common import shingle_set
 
 TEXT = st.lists(st.sampled_from([*"ab .!\n\té漢'1", "<|endoftext|>", "  "]), max_size=80).map("".join)
@@ -198,10 +198,3 @@ def test_html_main_text_without_furniture():
     assert html_extract.extract(page, None, set()) == "Title & more One two Three four " + " ".join(["five"] * 30)
     assert html_extract.extract(html_extract.parse(""), None, set()) == ""
     assert html_extract.extract(html_extract.parse("plain <b>te</b>xt"), None, set()) == "plain text"
-
-
-def test_ann_index_finds_itself_and_skips_bad_vectors():
-    import pyarrow as pa
-
-    at, x = ann.valid(pa.array([[1.0, 0.0], None, [0.0, 0.0], [float("nan"), 1.0], [1.0, None], [0.5, 0.5], []]))
-    assert at.tolist() == [0, 5] and x.shape == (2, 2)
