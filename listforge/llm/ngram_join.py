@@ -56,6 +56,8 @@ SHINGLE = 5
 CHUNK, BUCKET = 1_000_000, 400_000
 #: Sets, and shingles of these, that an index searched at once holds about.
 BLOCK, SHINGLES = 512, 2_000_000
+#: Sets that one copy of an index answers about.
+ASKS = 1024
 #: Rows (of one or two longs) up to which a table is broadcast; beyond it the join is shuffled.
 SMALL = 500_000
 #: Sets from which on a list is dealt to ``PIECES`` tasks.
@@ -308,16 +310,19 @@ def count_links(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFra
     ``asks`` (a, own, block), ``members`` (block, cid, component, copies).  Rows with a null ``b`` hold the number of
     links, the others one linked set of each component but ``own``.
     """
-    wanted = members.join(asks.select("block").distinct(), "block", "left_semi")
-    index = wanted.join(full.select("cid", "tokens"), "cid").select("block", F.lit(0).alias("kind"), "cid", "tokens", "component", "copies")
-    query = asks.join(full.select(F.col("cid").alias("a"), "tokens"), "a").select("block", F.lit(1).alias("kind"), F.col("a").alias("cid"), "tokens", F.col("own").alias("component"), F.lit(0).cast("long").alias("copies"))
+    # a block that many sets ask is an index of several tasks, each of which answers some of them
+    parts, _ = save(asks.groupBy("block").agg(F.ceil(F.count("*") / ASKS).alias("parts")), "parts")
+    members = members.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    asks = spread_join(asks, parts.where("parts > 1"), "block", "a", "left", SMALL).withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))))
+    index = members.join(full.select("cid", "tokens"), "cid").select("block", "part", F.lit(0).alias("kind"), "cid", "tokens", "component", "copies")
+    query = asks.join(full.select(F.col("cid").alias("a"), "tokens"), "a").select("block", "part", F.lit(1).alias("kind"), F.col("a").alias("cid"), "tokens", F.col("own").alias("component"), F.lit(0).cast("long").alias("copies"))
 
     def run(batches):
         now, ids, sets, held, index, out = None, [], [], {}, None, ([], [], [])
         for batch in batches:
-            for block, kind, cid, x, component, copies in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if block != now:
-                    now, ids, sets, held, index = block, [], [], {}, None
+            for block, part, kind, cid, x, component, copies in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (block, part) != now:
+                    now, ids, sets, held, index = (block, part), [], [], {}, None
                 x = np.frombuffer(x, np.uint64)
                 if kind == 0:
                     ids.append(cid), sets.append(x)
@@ -332,7 +337,7 @@ def count_links(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFra
             yield pa.record_batch([pa.array(x, pa.int64()) for x in out], ["a", "b", "links"])
             out = ([], [], [])
 
-    rows = index.unionByName(query).repartition("block").sortWithinPartitions("block", "kind", "cid")
+    rows = index.unionByName(query).repartition("block", "part").sortWithinPartitions("block", "part", "kind", "cid")
     return rows.mapInArrow(run, "a long, b long, links long")
 
 

@@ -44,14 +44,14 @@ def test_representatives_with_clashing_ids(spark):
 
 def test_hot_lists_and_blocks(spark):
     """Lists, blocks and joins in many pieces give the same links."""
-    names = ("HOT", "BLOCK", "SMALL")
+    names = ("HOT", "BLOCK", "SMALL", "ASKS")
     old = [getattr(ngram_join, n) for n in names]
     base = [f"b{i}" for i in range(80)]
     rows = [(i, " ".join(base[:i % 7] + [f"x{i}"] + base[i % 7 + 1 :])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     plain = sorted(map(tuple, ngram_join.near_duplicates(df).collect()))
     try:
-        for n, v in zip(names, (3, 4, 0), strict=True):
+        for n, v in zip(names, (3, 4, 0, 5), strict=True):
             setattr(ngram_join, n, v)
         assert sorted(map(tuple, ngram_join.near_duplicates(df).collect())) == plain
     finally:
