@@ -34,7 +34,7 @@ from ..plans.skew import spread_join
 from .common import save, table
 
 PIVOTS, SAMPLE, GROWTH = 16_384, 65_536, 18
-POSTED, PROBES, DEPTH, PLACES, RERANK = 8, 128, 32, 256, 32
+POSTED, PROBES, DEPTH, PLACES, RERANK = 8, 128, 32, 128, 48
 BLOCK = 4096
 #: Rows of posted vectors and queries that a task gets about, and cells of (queries x vectors x places) held at once.
 ROWS, CELLS = 40_000, 4_000_000
@@ -140,6 +140,8 @@ def visit(index: DataFrame, asked: DataFrame, pivots: np.ndarray, sizes: np.ndar
     dim, n_pivots = pivots.shape[1], len(pivots)
     blocks = np.maximum(1, -(-sizes // BLOCK))
     names = ["pivot", "block", "kind", "h1", "h2", "ids", "prefix", "vec"]
+    # floats are sent as such, which loses nothing
+    kept = np.float32 if index.schema["vec"].dataType.elementType.simpleString() == "float" else np.float64
     schema = "pivot int, block int, kind int, h1 long, h2 long, ids array<long>, prefix binary, vec binary"
 
     def dealt(kind: int, places: int):
@@ -160,7 +162,7 @@ def visit(index: DataFrame, asked: DataFrame, pivots: np.ndarray, sizes: np.ndar
                         row, pivot = np.repeat(row, n), np.repeat(pivot, n)
                     at = pa.array(row)
                     columns = [pa.array(pivot.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(np.full(len(row), kind, np.int32))]
-                    columns += [c.take(at) for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.list_(pa.int64())), binary(order[:, : DEPTH if kind == 0 else PLACES]), binary(x))]
+                    columns += [c.take(at) for c in (batch.column(0), batch.column(1), batch.column(2).cast(pa.list_(pa.int64())), binary(order[:, : DEPTH if kind == 0 else PLACES]), binary(x.astype(kept)))]
                     yield pa.record_batch(columns, names)
 
         return run
@@ -176,7 +178,7 @@ def visit(index: DataFrame, asked: DataFrame, pivots: np.ndarray, sizes: np.ndar
             keys = np.column_stack([batch.column(i).to_numpy() for i in range(3)])
             edges = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1), [True])))
             unpack = lambda i, t: np.frombuffer(b"".join(batch.column(i).to_pylist()), t).reshape(batch.num_rows, -1)
-            x = unpack(7, np.float64)
+            x = unpack(7, kept).astype(np.float64)
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if now != (now := tuple(keys[a, :2])):
                     file, ids, order, vectors = None, [], [], []
