@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.skew import spread_join
-from .common import save, table
+from .common import lean, save, table
 
 PIVOTS, SAMPLE, GROWTH = 16_384, 65_536, 18
 POSTED, PROBES, DEPTH, PLACES, RERANK = 8, 128, 32, 128, 48
@@ -167,8 +167,8 @@ def visit(index: DataFrame, asked: DataFrame, pivots: np.ndarray, sizes: np.ndar
 
         return run
 
-    cells = index.select("h1", "h2", "ids", "vec").mapInArrow(dealt(0, POSTED), schema)
-    cells = cells.unionByName(asked.select("h1", "h2", F.array().cast("array<long>").alias("ids"), "vec").mapInArrow(dealt(1, probes), schema))
+    cells = index.select("h1", "h2", "ids", "vec").mapInArrow(lean(dealt(0, POSTED)), schema)
+    cells = cells.unionByName(asked.select("h1", "h2", F.array().cast("array<long>").alias("ids"), "vec").mapInArrow(lean(dealt(1, probes)), schema))
 
     def run(batches):
         now, file, ids, order, vectors = None, None, [], [], []
@@ -196,7 +196,7 @@ def visit(index: DataFrame, asked: DataFrame, pivots: np.ndarray, sizes: np.ndar
                 yield pa.record_batch([batch.column(3).take(pa.array(row)), batch.column(4).take(pa.array(row)), pa.array([i for f, _ in found for i in f], pa.int64()), pa.array([s for _, f in found for s in f], pa.float64())], ["h1", "h2", "id", "score"])
 
     visits = max(1, int((sizes.sum() + asked.count() * probes) // ROWS))
-    return cells.repartition(visits, "pivot", "block").sortWithinPartitions("pivot", "block", "kind").mapInArrow(run, "h1 long, h2 long, id long, score double")
+    return cells.repartition(visits, "pivot", "block").sortWithinPartitions("pivot", "block", "kind").mapInArrow(lean(run), "h1 long, h2 long, id long, score double")
 
 
 def nearest(found: DataFrame, most: int) -> DataFrame:
@@ -230,7 +230,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
         yield pa.record_batch([pa.array(np.flatnonzero(total).astype(np.int32)), pa.array(total[total > 0])], ["pivot", "n"])
 
     sizes = np.zeros(len(pivots), np.int64)
-    for r in index.select("vec").mapInArrow(lengths, "pivot int, n long").groupBy("pivot").agg(F.sum("n").alias("n")).collect():
+    for r in index.select("vec").mapInArrow(lean(lengths), "pivot int, n long").groupBy("pivot").agg(F.sum("n").alias("n")).collect():
         sizes[r.pivot] = r.n
     near, _ = save(nearest(visit(index, asked, pivots, sizes, k + 1, PROBES, RERANK), k + 1), "near")
     full = near.where(F.size("near") > k).select("name")

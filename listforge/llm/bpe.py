@@ -24,12 +24,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gather, table
+from .common import chunks, gather, lean, table
 
 #: Fixed value: the pattern that splits text before the merges of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 512
-MAX_WORDS = 1_000_000
+#: Words whose merges a task remembers, and characters that it encodes at once, about.
+MAX_WORDS, CHARS = 300_000, 1 << 20
 NONE = np.int64(1) << 40
 
 
@@ -249,11 +250,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         codec = Codec(shipped.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHARS):
                 ids, offsets = codec.encode(texts[a:b])
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets.astype(np.int32), ids.astype(np.int32))], [id_col, "token_ids"])
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, token_ids array<int>")
+    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean(run), f"{id_col} long, token_ids array<int>")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -268,7 +269,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "tok
             texts = codec.decode(np.concatenate([np.empty(0, np.int64), *rows]), offsets)
             yield pa.record_batch([batch.column(0), pa.array([t.decode() for t in texts], pa.string())], [id_col, "text"])
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(run, f"{id_col} long, text string")
+    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(ids_col).alias("ids")).mapInArrow(lean(run), f"{id_col} long, text string")
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,12 +280,12 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         codec = Codec(shipped.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHARS):
                 ids, offsets = codec.encode(texts[a:b])
                 sha = [[hashlib.sha256(x).hexdigest() for x in f(ids, offsets)] for f in (codec.decimal, codec.decode)]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), pa.array(sha[0]), pa.array(sha[1])], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean(run), f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary_path(path: str | None = None) -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import spread_join
-from .common import save, table
+from .common import lean, save, table
 
 CHUNK = 1024
 #: Rows from which on the turns of a chunk, which may share their numbers, are dealt to several.
@@ -178,7 +178,7 @@ def _repairs(turns: DataFrame, emit, schema: str) -> DataFrame:
         for key, run in _by_key(batches, n):
             yield pa.record_batch([pa.array([x], t) for x, t in zip(key, PART_TYPES, strict=True)] + [pa.array([chunk_costs([role_of(r[1]) for r in run])], pa.list_(pa.int64()))], [*PARTS, "m"])
 
-    costs = rows.repartition(*PARTS).sortWithinPartitions(*_order()).select(*PARTS, "turn", "role").mapInArrow(matrices, f"{PART_SCHEMA}, m array<long>")
+    costs = rows.repartition(*PARTS).sortWithinPartitions(*_order()).select(*PARTS, "turn", "role").mapInArrow(lean(matrices), f"{PART_SCHEMA}, m array<long>")
 
     def states(batches):
         for (conv,), run in _by_key(batches, 1):
@@ -186,7 +186,7 @@ def _repairs(turns: DataFrame, emit, schema: str) -> DataFrame:
             columns = [[conv] * len(run), *zip(*(r[:-1] for r in run), strict=True)]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, PART_TYPES, strict=True)] + [pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32()), pa.array([i == len(run) - 1 for i in range(len(run))])], [*PARTS, "before", "after", "final"])
 
-    fixed = costs.repartition("conv_id").sortWithinPartitions(*(F.asc_nulls_first(c) for c in PARTS)).mapInArrow(states, f"{PART_SCHEMA}, before int, after int, final boolean")
+    fixed = costs.repartition("conv_id").sortWithinPartitions(*(F.asc_nulls_first(c) for c in PARTS)).mapInArrow(lean(states), f"{PART_SCHEMA}, before int, after int, final boolean")
     fixed = fixed.select(*(F.col(c).alias(f"_{c}") for c in PARTS), "before", "after", "final")
     same = [rows[c].eqNullSafe(fixed[f"_{c}"]) for c in PARTS]
     joined = rows.join(fixed, same[0] & same[1] & same[2] & same[3] & same[4])
@@ -196,7 +196,7 @@ def _repairs(turns: DataFrame, emit, schema: str) -> DataFrame:
             before, after, final = run[0][3:]
             yield emit(key, repair([role_of(r[1]) for r in run], before, after), run, before, final)
 
-    return joined.repartition(*PARTS).sortWithinPartitions(*_order()).select(*PARTS, "turn", "role", "text", "before", "after", "final").mapInArrow(render, schema)
+    return joined.repartition(*PARTS).sortWithinPartitions(*_order()).select(*PARTS, "turn", "role", "text", "before", "after", "final").mapInArrow(lean(render), schema)
 
 
 def _pieces(done, run, before: int, final: bool):

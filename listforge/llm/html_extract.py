@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from ..plans.skew import bounded, spread_join
-from .common import drop_path, save, shingle_set, table
+from .common import drop_path, lean, save, shingle_set, table
 
 SHARE, PAGES = 0.9, 4
 #: Characters of prose from which on an element that is named like furniture may be what wraps the page's text.
@@ -432,7 +432,7 @@ def templates(pages: DataFrame) -> DataFrame:
     names = ["host", "kind", "token", "sign", "score", "at", "blocks", "before", "after", "doc", "uid", "sketch"]
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     schema = "host string, kind int, token long, sign long, score double, at long, blocks long, before long, after long, doc long, uid long, sketch binary"
-    read, read_at = save(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, schema), "read")
+    read, read_at = save(pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(lean(run), schema), "read")
     chosen, _ = save(one_of_each(read.where("kind = 2").select("host", "doc", "uid", "sketch")), "chosen")
     tokens = read.where("kind < 2").join(bounded(chosen, SMALL), "uid", "left_semi")
     places = [f("before") for f in (F.min, F.max)] + [f("after") for f in (F.min, F.max)]
@@ -477,7 +477,7 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(extract(parse(text.as_py() or ""), main, chosen))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "main", "fixed").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:

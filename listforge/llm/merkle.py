@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 PIECE = re.compile(r"[^.!?]{1,40}[^\s.!?]*[.!?]*\s*|[.!?]+\s*")
 RANGE, MOST_RANGES = 2000, 20_000
@@ -210,7 +210,7 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     schema = f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_lines long, first_edited long"
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema)
+    return with_next(docs, id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def op1_merkle(spark, sf_dir: str) -> DataFrame:

@@ -19,15 +19,15 @@ next to each other in the stream; an empty table gives an empty result.  Every f
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from .common import hashable, keyed, n_words, save, table
+from .common import hashable, keyed, lean, n_words, save, table
 
 BLOCK, SHARDS = 64, 256
 #: Blocks that a source's shard holds at least, before it is split.
@@ -159,9 +159,13 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     return b" ".join(b[first[i] : last[j - 1]] for i, j in joined).decode("utf-8")
 
 
-@F.pandas_udf(StringType())
-def _cut(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
-    return pd.Series([t if a is None else cut(t, list(zip(a, b, strict=True))) for t, a, b in zip(text, starts, stops, strict=True)], dtype=object)
+@F.pandas_udf("string")
+def _cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(batches):
+        for text, starts, stops in batches:
+            yield pd.Series([None if a is None else cut(t, list(zip(a, b, strict=True))) for t, a, b in zip(text, starts, stops, strict=True)], dtype=object)
+
+    yield from lean(run)(parts)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -176,7 +180,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     whole = F.array_repeat(F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"), F.col("passes").cast("int"))
     takes = F.when(F.col("part") > 0, F.concat(whole, F.array("ranges"))).otherwise(whole)
     taken = joined.select("_row", F.explode(takes).alias("_part"))
-    text = _cut(F.col("_row.text"), F.col("_part.start"), F.col("_part.stop"))
+    # whole passes do not leave the JVM
+    partial = F.col("_part").isNotNull()
+    text = F.when(partial, _cut(F.when(partial, F.col("_row.text")), F.col("_part.start"), F.col("_part.stop"))).otherwise(F.col("_row.text"))
     out = taken.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c != "text"], text.alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

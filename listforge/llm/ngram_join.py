@@ -49,7 +49,7 @@ from pyspark.sql.window import Window
 
 from ..plans.components import components
 from ..plans.skew import bounded, spread_join
-from .common import drop_path, keyed, mix64, save, shingle_set, table
+from .common import drop_path, keyed, lean, mix64, save, shingle_set, table
 
 SHINGLE = 5
 #: Postings that a chunk of documents, and a bucket of lists, hold about.
@@ -111,7 +111,7 @@ def shingle_table(docs: DataFrame, full: bool, id_col: str = "doc_id", text_col:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     names, types = ["doc_id", "n", "cid", "proof", "tokens"], [pa.int64()] * 4 + [pa.binary()]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, cid long, proof long, tokens binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n long, cid long, proof long, tokens binary")
 
 
 def renamed(sets: DataFrame, clashes: DataFrame | None) -> DataFrame:
@@ -200,9 +200,9 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
             shared = np.bincount(at, weights=np.concatenate([np.frombuffer(y, np.int64) for _, y in rows])).astype(np.int64)
             yield pa.record_batch([pa.array(cid), pa.array(shared)], ["cid", "shared"])
 
-    lists = sets.where("cid is not null").select("cid", "tokens").mapInArrow(post, "bucket long, x binary, y binary")
-    counts = lists.repartition(max(1, min(buckets, 4000)), "bucket").sortWithinPartitions("bucket").mapInArrow(count, "part long, x binary, y binary")
-    return counts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total, "cid long, shared long")
+    lists = sets.where("cid is not null").select("cid", "tokens").mapInArrow(lean(post), "bucket long, x binary, y binary")
+    counts = lists.repartition(max(1, min(buckets, 4000)), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(count), "part long, x binary, y binary")
+    return counts.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lean(total), "cid long, shared long")
 
 
 def _sorted_runs(batches):
@@ -301,7 +301,7 @@ def search(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFrame:
             out = ([], [])
 
     rows = index.unionByName(query).repartition("block").sortWithinPartitions("block", "kind", "cid")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def count_links(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFrame:
@@ -338,7 +338,7 @@ def count_links(asks: DataFrame, members: DataFrame, full: DataFrame) -> DataFra
             out = ([], [], [])
 
     rows = index.unionByName(query).repartition("block", "part").sortWithinPartitions("block", "part", "kind", "cid")
-    return rows.mapInArrow(run, "a long, b long, links long")
+    return rows.mapInArrow(lean(run), "a long, b long, links long")
 
 
 def short_lists(full: DataFrame, alive: DataFrame) -> DataFrame:
@@ -354,7 +354,7 @@ def short_lists(full: DataFrame, alive: DataFrame) -> DataFrame:
             if tokens:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in (tokens, cids, ns, rs)], ["token", "cid", "n", "r"])
 
-    lists = full.select("cid", "tokens").join(bounded(alive, SMALL), "cid").select("cid", "n", "r", "tokens").mapInArrow(run, "token long, cid long, n long, r long")
+    lists = full.select("cid", "tokens").join(bounded(alive, SMALL), "cid").select("cid", "n", "r", "tokens").mapInArrow(lean(run), "token long, cid long, n long, r long")
     lists, _ = save(lists, "postings")
     length, _ = save(lists.groupBy("token").agg(F.count("*").alias("len")).where("len > 1"), "lengths")
     # rows of long lists meet their length in a broadcast (or spread) join, those of short ones in a shuffled one

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_set, table
+from .common import lean, shingle_set, table
 
 TOXIC_ROWS, CLEAN_ROWS = 4096, 8192
 #: A feature joins the lexicon with this many toxic rows and this log odds ratio at least.
@@ -235,7 +235,7 @@ def _words(batches):
 
 def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Model:
     """The lexicon learned: every feature of the sample that reaches the bounds, insults and threats told apart by their place."""
-    found = sample.select("text", "y").mapInArrow(_words, "y int, copy long, words array<string>").dropDuplicates(["y", "copy"])
+    found = sample.select("text", "y").mapInArrow(lean(_words), "y int, copy long, words array<string>").dropDuplicates(["y", "copy"])
     counted = found.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (clean + 1))
     best = counted.where(F.col("pos") >= LEAST_ROWS).withColumn("odds", odds)
@@ -289,9 +289,12 @@ def score_column(model: Model, text_col):
     """Score of a text column under ``model``, as a vectorised function."""
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model)
-        for texts in parts:
-            yield pd.Series([scorer.score(scorer.features(t)) for t in texts])
+        def run(batches):
+            scorer = Scorer(model)
+            for texts in batches:
+                yield pd.Series([scorer.score(scorer.features(t)) for t in texts])
+
+        yield from lean(run)(parts)
 
     return F.pandas_udf(score, "double")(text_col)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.skew import spread_join
-from .common import save, table
+from .common import lean, save, table
 
 #: Header fields of ARC versions 1 and 2, in order, as their version blocks name them.
 ARC_FIELDS = {
@@ -240,17 +240,17 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def archives(pages: DataFrame) -> DataFrame:
     """(name, version, arc): legacy archives of the pages."""
-    return marked(pages).mapInArrow(_write, "name string, version int, arc binary")
+    return marked(pages).mapInArrow(lean(_write), "name string, version int, arc binary")
 
 
 def converted(arcs: DataFrame) -> DataFrame:
     """(name, warc) of ARC archives (name, arc)."""
-    return arcs.select("name", "arc").mapInArrow(_convert, "name string, warc binary")
+    return arcs.select("name", "arc").mapInArrow(lean(_convert), "name string, warc binary")
 
 
 def rewritten(pages: DataFrame) -> DataFrame:
     """(name, warc): both steps in one Python worker, archive by archive."""
-    return marked(pages).mapInArrow(lambda batches: _convert(_write(batches)), "name string, warc binary")
+    return marked(pages).mapInArrow(lean(lambda batches: _convert(_write(batches))), "name string, warc binary")
 
 
 def records(warcs: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def records(warcs: DataFrame) -> DataFrame:
                     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return warcs.select("warc").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary")
+    return warcs.select("warc").mapInArrow(lean(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, payload binary")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
