@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from typing import Tuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .common import hashable, keyed, lean, n_words, save, table
@@ -159,8 +161,8 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     return b" ".join(b[first[i] : last[j - 1]] for i, j in joined).decode("utf-8")
 
 
-@F.pandas_udf("string")
-def _cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.pandas_udf(StringType())
+def _cut(parts: Iterator[Tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     def run(batches):
         for text, starts, stops in batches:
             yield pd.Series([None if a is None else cut(t, list(zip(a, b, strict=True))) for t, a, b in zip(text, starts, stops, strict=True)], dtype=object)
