@@ -22,8 +22,8 @@ def drop_floor(before: Column, share: float = DROP) -> Column:
 
 def health(runs: DataFrame, current: DataFrame, published: DataFrame) -> DataFrame:
     """Runs (source, ok, partial, raw, error) with counts and a status: failed, partial, major_drop or healthy."""
-    now = current.groupBy("source").agg(F.count("*").alias("current"))
-    before = published.groupBy("source").agg(F.count("*").alias("previous"))
+    now = source_counts(current).withColumnRenamed("n", "current")
+    before = source_counts(published).withColumnRenamed("n", "previous")
     both = runs.join(now, "source", "left").join(before, "source", "left").fillna(0, ["current", "previous"])
     dropped = (F.col("previous") >= LEAST_BEFORE) & (F.col("current") < drop_floor(F.col("previous")))
     return both.withColumn("status", F.when(~F.col("ok"), "failed").when(F.coalesce("partial", F.lit(False)), "partial").when(dropped, "major_drop").otherwise("healthy"))
@@ -40,6 +40,31 @@ def assert_healthy(sources: DataFrame, published: DataFrame, allow_major_drop: b
         raise RunAborted("no fresh rows")
 
 
+def source_counts(df: DataFrame, *more: Column, by: str = "source") -> DataFrame:
+    """(``by``, n, ...) rows of each source, with further aggregates."""
+    return df.groupBy(by).agg(F.count("*").alias("n"), *more)
+
+
+def seen_span(df: DataFrame, key: str, at: str, *more: Column) -> DataFrame:
+    """(``key``, first_seen, last_seen, ...) of each key."""
+    return df.groupBy(key).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), *more)
+
+
+def last_writes(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row by ``order`` of each key, and ``first_at``: the order of its first row, where it keeps its place."""
+    others = [c for c in df.columns if c not in keys]
+    at = F.struct(*order)
+    out = df.groupBy(*keys).agg(F.max_by(F.struct(*others), at).alias("_last"), F.min(at).alias("first_at"))
+    return out.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others], "first_at")
+
+
+def still_open_legacy(df: DataFrame, now: str) -> DataFrame:
+    """Rows that the older rule keeps: no closing day, or one not before the day that is 270 minutes ahead of UTC."""
+    day = F.date_format(F.to_timestamp(F.lit(now)) + F.expr("interval 270 minutes"), "yyyy-MM-dd")
+    closing = F.col("closing_date").cast("string")
+    return df.where(F.coalesce(closing, F.lit("")).isin("") | (closing >= day))
+
+
 def _keys() -> Column:
     url = F.concat_ws("|", F.lit("u"), "source", F.coalesce("source_url", "url"))
     reference = detail(F.col("details"), REFERENCE)

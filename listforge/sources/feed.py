@@ -96,18 +96,69 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", expected: int | None
         n = spark.read.format(fmt).schema(df.schema).load(staged).count()
         if expected is not None and n != expected:
             raise InvalidSource(f"{n} rows are staged, {expected} were expected")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{staged}.old")
-        if fs.exists(target) and not fs.rename(target, old):
-            raise InvalidSource(f"{path} cannot be moved")
-        if not fs.rename(temp, target):
-            fs.rename(old, target)
-            raise InvalidSource(f"{staged} cannot be put in place")
-        fs.delete(old, True)
+        _swap(fs, temp, target)
         return n
     finally:
         fs.delete(temp, True)
 
 
+def _swap(fs, staged, target) -> None:
+    """Puts a staged folder in place of the target, which comes back if that fails."""
+    old = staged.suffix(".old")
+    if fs.exists(target) and not fs.rename(target, old):
+        raise InvalidSource(f"{target} cannot be moved")
+    if not fs.rename(staged, target):
+        fs.rename(old, target)
+        raise InvalidSource(f"{staged} cannot be put in place")
+    fs.delete(old, True)
+
+
+def publish_pair(df: DataFrame, json_path: str, csv_path: str, columns: list[str] | None = None) -> int:
+    """Publishes the same rows as JSON lines and as CSV: both are staged and counted first, and JSON, the data, is put in place last."""
+    spark, mark = df.sparkSession, uuid.uuid4().hex
+    rows = df.checkpoint()
+    n = rows.count()
+    staged = {p: f"{p.rstrip('/')}.{mark}.staged" for p in (json_path, csv_path)}
+    fs, data = _path(spark, staged[json_path])
+    other, table = _path(spark, staged[csv_path])
+    try:
+        rows.write.json(staged[json_path])
+        write_csv(rows, staged[csv_path], columns)
+        found = spark.read.schema(rows.schema).json(staged[json_path]).count()
+        cells = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(staged[csv_path]).count() if n else 0
+        if (found, cells) != (n, n):
+            raise InvalidSource(f"{found} and {cells} rows are staged, {n} were expected")
+        _swap(other, table, _path(spark, csv_path)[1])
+        _swap(fs, data, _path(spark, json_path)[1])
+        return n
+    finally:
+        fs.delete(data, True)
+        other.delete(table, True)
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """A one-row summary as one JSON object, staged and put in place."""
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.staged"
+    fs, temp = _path(spark, staged)
+    try:
+        df.coalesce(1).write.json(staged)
+        if spark.read.schema(df.schema).json(staged).count() != 1:
+            raise InvalidSource("a summary has one row")
+        _swap(fs, temp, _path(spark, path)[1])
+    finally:
+        fs.delete(temp, True)
+
+
+#: Columns of the older CSV file, in order.
+LEGACY_COLUMNS = ["title", "company", "location", "closing_date", "apply_url", "url", "source", "scraped_at", "closing_date_raw", "apply_emails", "apply_phones"]
+
+
+def legacy_rows(df: DataFrame) -> DataFrame:
+    """The older output: eleven columns, the latest rows first."""
+    return df.orderBy(F.desc(F.coalesce(F.col("scraped_at").cast("string"), F.lit("")))).select(*LEGACY_COLUMNS)
+
+
 def write_audit(df: DataFrame, path: str) -> None:
     """Assessed rows, rejected ones too, by source."""
     df.select("source", "title", "url", "category", F.col("relevance.score").alias("score"), F.col("relevance.decision").alias("decision"), F.col("relevance.reasons").alias("reasons")).repartition("source").sortWithinPartitions("source", "decision", "title", "url").write.mode("overwrite").partitionBy("source").json(path)

@@ -89,7 +89,10 @@ def _fits(n: Node, simple: str) -> bool:
 
 
 def find(n: Node, selector: str) -> list[Node]:
-    """Descendants that fit, in document order; alternatives are separated by commas."""
+    """Descendants that fit, in document order; alternatives are separated by commas, ``a >> b`` is an ``a`` that holds a ``b``."""
+    if ">>" in selector:
+        outer, inner = selector.split(">>")
+        return [x for x in find(n, outer.strip()) if find(x, inner.strip())]
     out = []
     for x in n.walk():
         for option in selector.split(","):
@@ -137,6 +140,14 @@ class Adapter:
     detail_company: str | None = None
     pairs: tuple[tuple[str, str, str], ...] = (("tr", "th", "td"), ("dl", "dt", "dd"))  # (row, label, value)
     sections: str | None = None
+    headed: tuple[tuple[str, str, str | None], ...] = ()  # (section, heading, body; None: all but the heading), forms tried in order
+    needs: tuple[str, ...] = ()  # what a page of this board has: every one of these
+    not_titles: str | None = None  # headings of sections that are left out
+    title_prefix: str | None = None
+    company_alone: bool = False  # the company's element holds others, which are no part of it
+    closing_pattern: str | None = None  # found in the card's text
+    gender_pattern: str | None = None
+    other_meta: str | None = None  # the first of these that is not the company is the place
     apply: str | None = None
     fields: dict = field(default_factory=dict)
 
@@ -147,9 +158,12 @@ class Adapter:
             link = next((x for x in find(card, self.link) if id(x) not in bad and x.attrs.get("href")), None)
             if link is None:
                 continue
-            company = first(card, self.company)
-            kind = first(card, self.job_type)
-            out.append({"url": urljoin(self.base, link.attrs["href"]), "title": text_of(link), "company": company.text(without=(kind,) if kind else ()) or None if company else None, "location": text_of(first(card, self.location)), "closing_date_raw": text_of(first(card, self.closing)), "job_type": text_of(kind), "gender": text_of(first(card, self.gender))})
+            company, kind, whole = first(card, self.company), first(card, self.job_type), card.text()
+            aside = tuple(k for k in company.kids if isinstance(k, Node)) if company and self.company_alone else (kind,) if kind else ()
+            named = re.sub(r"[•·]+\s*$", "", company.text(without=aside)).strip() or None if company else None
+            place = text_of(first(card, self.location)) or next((t for t in (x.text() for x in find(card, self.other_meta)) if t and t != named), None) if self.location or self.other_meta else None
+            said = lambda pattern: next((m[1] for m in [re.search(pattern, whole, re.I)] if m), None) if pattern else None
+            out.append({"url": urljoin(self.base, link.attrs["href"]), "title": text_of(link), "company": named, "location": place, "closing_date_raw": text_of(first(card, self.closing)) or said(self.closing_pattern), "job_type": text_of(kind), "gender": text_of(first(card, self.gender)) or said(self.gender_pattern)})
         if out or not self.rows:
             return out
         for row in find(root, self.rows):
@@ -163,23 +177,41 @@ class Adapter:
     def detail(self, html: str | None) -> dict | None:
         """A detail page's fields; None where its markup is not the board's."""
         root = tree(html)
-        body = first(root, self.detail_root)
+        body = first(root, self.detail_root) or (root if self.detail_root == "body" else None)
         if body is None:
             return None
+        if not all(find(root, x) for x in self.needs):
+            return None
         details = {}
         for row, label, value in self.pairs:
             for r in find(body, row):
-                labels, values = find(r, label), find(r, value)
+                labels = find(r, label)
+                values = [v.text() for v in find(r, value)] if value else [r.text(without=tuple(labels[:1]))]
                 for k, v in zip(labels, values, strict=False):
                     key = re.sub(r"^[^\w]+|:$", "", k.text())
-                    if key and v.text() and key not in details:
-                        details[key] = v.text()
-        parts = [s.lines() for s in find(body, self.sections)] if self.sections else [body.lines()]
+                    if key and v and key not in details:
+                        details[key] = v
+        parts = [s.lines() for s in find(body, self.sections)] if self.sections else [] if self.headed else [body.lines()]
+        for section, heading, text in self.headed:
+            found = []
+            for s in find(body, section) if not parts else []:
+                heads = find(s, heading) if text else find(s, heading)[:1]
+                for head in heads:
+                    # of several headings in one section each has its body beside it
+                    text_node = first(s if len(heads) == 1 else head.up, text) if text else None
+                    title = re.sub(":$", "", head.text())
+                    inner = text_node.lines() if text_node else "" if text else s.lines().removeprefix(head.text()).strip()
+                    if title and inner and not (self.not_titles and re.fullmatch(self.not_titles, title, re.I)):
+                        found.append(f"{title}\n{inner}")
+            parts = parts or found
         posting = json_posting(root)
         if not details and not posting and not any(parts):
             return None
         apply = first(body, self.apply)
-        return {"title": text_of(first(root, self.detail_title)) or posting.get("title"), "company": text_of(first(root, self.detail_company)) or (posting.get("hiringOrganization") or {}).get("name"), "description": "\n\n".join(p for p in parts if p) or posting.get("description"), "details": details, "apply_url": urljoin(self.base, apply.attrs.get("href", "")) if apply else None, "posting": json.dumps(posting) if posting else None}
+        title = text_of(first(root, self.detail_title)) or posting.get("title")
+        if title and self.title_prefix:
+            title = re.sub(f"^(?:{self.title_prefix})\\s*", "", title, flags=re.I)
+        return {"title": title, "company": text_of(first(root, self.detail_company)) or (posting.get("hiringOrganization") or {}).get("name"), "description": "\n\n".join(p for p in parts if p) or posting.get("description"), "details": details, "apply_url": urljoin(self.base, apply.attrs.get("href", "")) if apply else None, "posting": json.dumps(posting) if posting else None}
 
 
 def json_posting(root: Node) -> dict:

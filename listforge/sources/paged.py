@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.window import Window
 
 from ..functions.numbers import salary_from_fields
 from ..functions.text import html_lines, or_null
@@ -18,16 +19,41 @@ PAGE_SIZE, MOST_PAGES = 100, 50
 LISTING = "id long, slug string, title string, area_id long, page int, position int, payload string"
 
 
+class BrokenListing(ValueError):
+    """A listing that cannot be read as a whole; never taken for a shorter one."""
+
+
 class PagePartition(InputPartition):
-    def __init__(self, page: int):
-        self.page = page
+    def __init__(self, page: int, total: int):
+        self.page, self.total = page, total
+
+
+def checked_page(body, page: int, limit: int = MOST_PAGES) -> tuple[list[dict], int]:
+    """(rows, pages in all) of a page's answer; raises where it is malformed, or hides how many pages there are."""
+    rows = body.get("data") if isinstance(body, dict) else None
+    if not isinstance(rows, list) or not all(isinstance(r, dict) for r in rows):
+        raise BrokenListing(f"page {page} holds no list of records")
+    said = str((body.get("meta") or {}).get("totalPages", ""))
+    if said.isdigit() and int(said) > 0:
+        total = max(page, int(said))
+    elif len(rows) >= PAGE_SIZE:
+        raise BrokenListing(f"page {page} is full and does not say how many pages there are")
+    else:
+        total = page
+    if total > limit:
+        raise BrokenListing(f"the listing has {total} pages, {limit} are allowed")
+    return rows, total
 
 
 class PagedReader(DataSourceReader):
-    """``url`` is a template with {page} and {size}; {areas} takes the pushed-down filter on area_id."""
+    """``url`` is a template with {page} and {size}; {areas} takes the pushed-down filter on area_id.
+
+    ``limit`` is the number of pages allowed: a longer listing is an error, as is one that is malformed, does not
+    say how long it is, has an empty page before its end or grows while it is read.
+    """
 
     def __init__(self, options: dict):
-        self.url, self.pages = options["url"], int(options.get("pages", 0))
+        self.url, self.pages, self.limit = options["url"], int(options.get("pages", 0)), int(options.get("limit", MOST_PAGES))
         self.areas: list[int] = []
 
     def pushFilters(self, filters):  # noqa: N802
@@ -42,11 +68,22 @@ class PagedReader(DataSourceReader):
         return json.loads(fetch(self.url.format(page=page, size=PAGE_SIZE, areas=",".join(map(str, self.areas)))))
 
     def partitions(self):
-        total = self.pages or int(self._get(1).get("meta", {}).get("totalPages", 1))
-        return [PagePartition(p) for p in range(1, min(total, MOST_PAGES) + 1)]
+        total, seen = self.pages or 1, 0
+        # the last page known is read until it names no later one
+        while not self.pages and seen < total:
+            seen = total
+            total = checked_page(self._get(total), total, self.limit)[1]
+        if total > self.limit:
+            raise BrokenListing(f"the listing has {total} pages, {self.limit} are allowed")
+        return [PagePartition(p, total) for p in range(1, total + 1)]
 
     def read(self, partition):
-        for i, row in enumerate(self._get(partition.page).get("data", [])):
+        rows, total = checked_page(self._get(partition.page), partition.page, self.limit)
+        if not self.pages and total > partition.total:
+            raise BrokenListing(f"the listing grew from {partition.total} to {total} pages while it was read")
+        if not rows and partition.page < partition.total:
+            raise BrokenListing(f"page {partition.page} of {partition.total} is empty")
+        for i, row in enumerate(rows):
             yield row.get("id"), row.get("slug"), row.get("title"), row.get("areaId"), partition.page, i, json.dumps(row)
 
 
@@ -83,6 +120,28 @@ def page_problems(rows: DataFrame) -> DataFrame:
     return repeated.unionByName(prints.join(new, "page", "left_anti").select("page", F.lit("no new row").alias("problem")))
 
 
+def read_listing(spark: SparkSession, url: str, **options) -> DataFrame:
+    """All rows of a listing, read once; raises ``BrokenListing`` where its pages repeat or bring nothing new."""
+    reader = spark.read.format("paged_listing").option("url", url)
+    for k, v in options.items():
+        reader = reader.option(k, v)
+    rows = reader.load().checkpoint()
+    problems = [f"page {r.page} {r.problem}" for r in page_problems(rows).orderBy("page").limit(5).collect()]
+    if problems:
+        raise BrokenListing("the listing stalled: " + "; ".join(problems))
+    return rows
+
+
+def last_pages(pages: DataFrame) -> DataFrame:
+    """(page, last, known): the highest page number that each page and all before it link to.
+
+    ``pages`` (page, linked); a link to no later page than the one read does not tell where the listing ends.
+    """
+    order = Window.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)  # as many rows as a crawl has pages
+    later = F.when(F.col("linked") > F.col("page"), F.col("linked"))
+    return pages.withColumn("known", F.max(later).over(order)).select("page", F.greatest("known", F.when(F.col("known").isNotNull(), F.col("linked"))).alias("last"), F.col("known").isNotNull().alias("known"))
+
+
 def areas_for(categories: str, areas: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """Ids of the areas that a comma-separated list of categories names, directly or by an alias."""
     from ..functions.text import label_text
