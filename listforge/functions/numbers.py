@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from .text import fold_digits, let, or_null, rx, word
 
 NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
-OPENINGS = "vacancy|vacancies|jobs?|positions?|posts?|openings?"
+#: What openings are called, after a count and before one, and the most digits of a count.
+OPENINGS = "vacancy vacancies job jobs position positions post posts opening openings".split()
+COUNTED = "job jobs position positions vacancies".split()
+DIGITS = 6
+#: Words of a salary by scale, and of one to be agreed.
+SCALE_WORDS = ["scale", "standard", "according to", "as per", "based on", "based upon"]
+NEGOTIABLE = "negotiable"
 
 
 def positive(c: Column) -> Column:
@@ -20,10 +26,13 @@ def vacancy_count(c: Column) -> Column:
     """A positive count stated as a number, or as an English word up to twenty; null for anything else."""
 
     def read(text: Column) -> Column:
-        said = F.regexp_extract(text, rf"^(?:a\s+)?([a-z]+)(?:\s+(?:{OPENINGS}))?$", 1)
+        # what is counted goes first, then what leads up to the count, then what explains it
+        bare = rx(text, rf"\s+(?:{'|'.join(OPENINGS)})$", "")
+        said = rx(bare, r"^a\s+", "")
         by_word = F.nullif(F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), said), F.lit(0).cast("long"))
-        digits = F.regexp_extract(text, rf"^(?:no\.?\s*(?:of\s+)?(?:jobs?|positions?|vacancies)\s*[:-]?\s*)?(\d{{1,6}})(?:\s*\([a-z\s-]+\))?(?:\s+(?:{OPENINGS}))?$", 1)
-        return F.coalesce(by_word, positive(F.nullif(digits, F.lit(""))))
+        number = rx(rx(bare, rf"^no\.?\s*(?:of\s+)?(?:{'|'.join(COUNTED)})(?![a-z])\s*[:-]?\s*", ""), r"(?<=\d)\s*\([a-z\s-]+\)$", "")
+        digits = F.when(number.rlike(r"^\d+$") & (F.length(number) <= DIGITS), number)
+        return F.coalesce(by_word, positive(digits))
 
     return let(F.lower(F.trim(fold_digits(c.cast("string")))), read)
 
@@ -76,8 +85,8 @@ def comparable_salary(text: Column) -> Column:
 
 
 def salary_kind(text: Column, pay: Column | None = None) -> Column:
-    scale = "(?i)" + word("scale|standard") + "|" + word("according to|as per|based (?:on|upon)")
-    return F.when(text.isNull(), "undisclosed").when(text.rlike("(?i)" + word("negotiable")), "negotiable").when(text.rlike(scale), "scale").when((comparable_salary(text) if pay is None else pay).isNotNull(), "numeric").otherwise("listed")
+    says = lambda *words: text.rlike("(?i)" + word("|".join(words)))
+    return F.when(text.isNull(), "undisclosed").when(says(NEGOTIABLE), "negotiable").when(says(*SCALE_WORDS), "scale").when((comparable_salary(text) if pay is None else pay).isNotNull(), "numeric").otherwise("listed")
 
 
 def salary_from_fields(low: Column, high: Column, currency: Column, period: Column) -> Column:

@@ -77,6 +77,11 @@ def mail_link(address: Column, subject: Column, exact: Column) -> Column:
     return F.when(exact & subject.isNotNull(), F.concat(F.lit("mailto:"), address, F.lit("?subject="), encoded)).otherwise(F.concat(F.lit("mailto:"), address))
 
 
+def links(html: Column) -> Column:
+    """Targets of a document's links, in order, repeated ones too."""
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit('href="([^"]+)"'), F.lit(1))
+
+
 def page_number(html: Column) -> Column:
     """The highest page number a document links to."""
     found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)(?:[?&]|&amp;)page=(\d{1,9})"), F.lit(1))

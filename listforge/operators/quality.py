@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import contacts
 from ..functions.urls import canonical_url, is_web, mail_recipients
 from .schema import with_columns
 
@@ -91,10 +92,12 @@ def metrics(df: DataFrame, today: str) -> DataFrame:
     return df.agg(F.count("*").alias("jobs"), F.count_distinct("source").alias("sources"), F.count_if(F.col("closing_date").cast("string") < today).alias("expired"), F.count("relevance").alias("assessed"))
 
 
-def validate(df: DataFrame, today: str, min_jobs: int = 1, min_sources: int = 1, max_expired: int | None = None) -> None:
-    """Raises ``InvalidFeed`` if rows break a rule or the feed its limits."""
+def validate(df: DataFrame, today: str, min_jobs: float = 1, min_sources: float = 1, max_expired: float | None = None, require_relevance: bool = True) -> None:
+    """Raises ``InvalidFeed`` if rows break a rule or the feed its limits; rows without relevance do unless it is not required."""
     m = metrics(df, today).first()
-    found = [f"{r.key}: {r.rule}" for r in violations(df, today).where("severity = 'error'").orderBy("rule", "key").limit(20).collect()]
+    wrong = violations(df, today).where("severity = 'error'")
+    wrong = wrong if require_relevance else wrong.where("rule <> 'relevance is missing'")
+    found = [f"{r.key}: {r.rule}" for r in wrong.orderBy("rule", "key").limit(20).collect()]
     if m.jobs < min_jobs:
         found.append(f"{m.jobs} jobs, {min_jobs} are needed")
     if m.sources < min_sources:
@@ -105,6 +108,53 @@ def validate(df: DataFrame, today: str, min_jobs: int = 1, min_sources: int = 1,
         raise InvalidFeed("; ".join(found))
 
 
+def method_of() -> Column:
+    """The channel that a row's own fields give it, by the rule for merged rows."""
+    c = F.col
+    some = lambda n: F.size(F.coalesce(c(n), F.array().cast("array<string>"))) > 0
+    mailto = F.coalesce(F.size(mail_recipients(c("apply_url"))) > 0, F.lit(False))
+    return contacts.merged_method(c("application_method"), mailto, some("apply_emails") | mailto, is_web(c("apply_url")), some("apply_phones"))
+
+
+def output_rules() -> list[tuple[str, str, Column]]:
+    """What must hold for every row before it is published, beside the rules of a feed."""
+    c = F.col
+    r = c("relevance")
+    return [
+        *((f"{n} is missing", "error", filled(c(n))) for n in ("title", "company", "source", "url")),
+        ("relevance does not include the row", "error", (r["decision"] == "include") & (r["score"] >= r["threshold"])),
+        ("application method does not follow from its fields", "error", c("application_method") == method_of()),
+        *((f"{n} is no day", "error", _optional(c(n), is_day(c(n)))) for n in ("post_date", "closing_date")),
+    ]
+
+
+def assert_output(df: DataFrame, had_input: bool) -> None:
+    """Raises ``InvalidFeed`` where the rows must not replace what is published; an empty result of some input too."""
+    rows = with_columns(df)
+    if had_input and rows.isEmpty():
+        raise InvalidFeed("there was input, and nothing is left of it")
+    broken = check_rows(rows, output_rules(), "url").unionByName(duplicates(rows, canonical_url(F.coalesce("source_url", "url")), "url is not unique"))
+    found = [f"{r.key}: {r.rule}" for r in broken.orderBy("rule", "key").limit(20).collect()]
+    if found:
+        raise InvalidFeed("; ".join(found))
+
+
+def lost_references(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
+    """(key) of rows whose reference is not there, each once for every row."""
+    return rows.join(known.select(F.col(known_key).alias("_known")), rows[key] == F.col("_known"), "left_anti").select(F.col(key).cast("string").alias("key"))
+
+
+def differing_counts(said: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """(key, said, there) where two tables count a key differently; one that a table lacks counts nothing."""
+    a, b = (d.groupBy(F.col(key).alias("key")).agg(F.count("*").alias(n)) for d, n in ((said, "said"), (there, "there")))
+    return a.join(b, "key", "full_outer").na.fill(0, ["said", "there"]).where("said <> there")
+
+
+def completeness(*columns: Column) -> Column:
+    """How many of the columns are filled."""
+    return sum((filled(c).cast("int") for c in columns), F.lit(0))
+
+
 def least_allowed(base: Column, percent: float = DROP_PERCENT) -> Column:
     return F.ceil(base * (1 - percent / 100))
 
@@ -121,7 +171,7 @@ def summary_violations(summary: DataFrame, feed: DataFrame) -> DataFrame:
     sizes = [F.when(F.col(f"{n}_count") != F.size(f"{n}_ids"), F.struct(F.lit(n).alias("key"), F.lit("count differs from its list").alias("rule"))) for n in lists]
     out = summary.select(F.explode(F.array_compact(F.array(*sizes))).alias("v")).select("v.*")
     ids = summary.select(F.explode(F.concat(*[F.col(f"{n}_ids") for n in lists])).alias("id"))
-    out = out.unionByName(ids.distinct().join(feed.select("id"), "id", "left_anti").select(F.col("id").alias("key"), F.lit("id is not in the feed").alias("rule")))
+    out = out.unionByName(lost_references(ids.distinct(), "id", feed, "id").select("key", F.lit("id is not in the feed").alias("rule")))
     for n in lists:
         twice = summary.select(F.explode(f"{n}_ids").alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
         out = out.unionByName(twice.select(F.col("id").alias("key"), F.lit(f"id stands twice in {n}").alias("rule")))

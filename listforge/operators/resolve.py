@@ -22,14 +22,15 @@ from urllib.parse import urlsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text, urls
 from ..functions.contacts import merged_method
 from ..plans.components import components
+from ..plans.skew import spread_join
 from .normalize import REFERENCE, stable_id
 from .schema import COLUMNS, LISTING, detail
 
+#: Fields that a merge fills in, and those that count for completeness.
 FILLED = "title company location post_date post_date_raw closing_date closing_date_raw category job_type gender vacancies salary application_method application_subject application_subject_type apply_url description".split()
 COUNTED = "title company location post_date closing_date category job_type gender vacancies salary application_method application_subject apply_url description".split()
 STAGES = ("exact", "reference", "role", "fingerprint")
@@ -222,12 +223,13 @@ class Replay:
             if at is None:
                 at = len(out)
                 out.append(r)
-                counts.append({})
+                counts.append({"exact": r["_exact"]})
             else:
                 kept = out[at]
                 out[at] = self.merge(kept, r, mine[how])
                 out[at]["_ref"] = kept["_ref"] or r["_ref"] if self.order(kept) <= self.order(r) else r["_ref"] or kept["_ref"]
                 counts[at][how] = counts[at].get(how, 0) + 1
+                counts[at]["exact"] += r["_exact"]
             for k, v in mine.items():
                 index[k][v] = at
         return list(zip(out, counts, strict=True))
@@ -270,8 +272,9 @@ def resolve(df: DataFrame, priority: list[str] = (), keep=None) -> DataFrame:
     priority, keep = list(priority), keep or (lambda d: d.checkpoint())
     replay = Replay(priority)
     rows = keep(keys(channel(stable_records(df.select(*COLUMNS), priority)), priority).where("_url <> ''"))
-    same = Window.partitionBy("_url")
-    counted = rows.withColumn("_n", F.count("*").over(same)).withColumn("_first", F.min("_order").over(same))
+    # copies are counted apart from the rows, so that a url of many rows sorts none of them
+    copies = rows.groupBy("_url").agg(F.count("*").alias("_n"), F.min("_order").alias("_first"))
+    counted = spread_join(rows, copies, "_url", "_order")
     single = counted.where("_n = 1").select(*COLUMNS, F.col("_first"), F.lit(0).cast("long").alias("_exact"))
 
     def one_url(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -295,14 +298,9 @@ def resolve(df: DataFrame, priority: list[str] = (), keep=None) -> DataFrame:
         done = []
         for r in records:
             r["_exact"] = int(r["_exact"])
-        by_place = {r["_row"]: r["_exact"] for r in records}
         for out, n in replay.clusters(records):
-            done.append({**out, "_counts": json.dumps({"exact": 0, **n})})
-        frame = _frame(done, [*COLUMNS, "_counts"])
-        # copies of one url are counted once for the component, with its first cluster
-        first = json.loads(frame.loc[0, "_counts"]) | {"exact": sum(by_place.values())}
-        frame.loc[0, "_counts"] = json.dumps(first)
-        return frame
+            done.append({**out, "_counts": json.dumps(n)})
+        return _frame(done, [*COLUMNS, "_counts"])
 
     several = _pack(grouped.where("component is not null"), *KEYS, "_url", "_row", "_first", "_exact", "component").groupBy("component").applyInPandas(one_component, f"{FLAT}, _counts string")
     counts = F.from_json("_counts", "exact long, reference long, role long, fingerprint long")
@@ -310,6 +308,19 @@ def resolve(df: DataFrame, priority: list[str] = (), keep=None) -> DataFrame:
     return channel(alone.unionByName(_unpack(several, "_counts").withColumn("merged", filled).drop("_counts")))
 
 
+def exact_copies(df: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """(id, removed) of the smallest id of each group of rows with equal keys, told by digests."""
+    return df.groupBy(F.sha2(key, 256).alias("_k")).agg(F.min(id_col).alias(id_col), (F.count("*") - 1).alias("removed")).drop("_k")
+
+
+def best_days(df: DataFrame, cluster: str, day: str, id_col: str) -> DataFrame:
+    """The latest and the earliest day of each cluster, and which row has it; ties go to the smaller id."""
+    at = F.unix_date(F.col(day))
+    return df.groupBy(cluster).agg(
+        F.max(day).alias("latest_day"), F.min_by(id_col, F.struct(-at, id_col)).alias("latest_key"), F.min(day).alias("earliest_day"), F.min_by(id_col, F.struct(at, id_col)).alias("earliest_key"),
+    )
+
+
 def removed(resolved: DataFrame) -> DataFrame:
     """One row: records removed by each key."""
     sums = [F.coalesce(F.sum(f"merged.{k}"), F.lit(0)).alias(f"{k}_removed") for k in STAGES]

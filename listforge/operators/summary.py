@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import escape_html, squeeze
 from ..functions.urls import canonical_url
@@ -66,6 +67,20 @@ def hydrate(summary: DataFrame, feed: DataFrame, ids: str) -> DataFrame:
     return wanted.join(feed, "id").orderBy("position")
 
 
+def top_in_groups(df: DataFrame, group: str, order: list[Column], top: int = TOP) -> DataFrame:
+    """The first rows of each group with their place, and how many more it has."""
+    place = Window.partitionBy(group).orderBy(*order)
+    first = df.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top)  # kept before the shuffle
+    size = df.groupBy(group).agg(F.greatest(F.count("*") - top, F.lit(0).cast("long")).alias("more"))
+    return first.join(size, group)
+
+
+def digest(sections: list[tuple[str, DataFrame, int]], generated_at: str, top: int = TOP) -> str:
+    """The HTML of a whole digest: its sections that have rows, or that there is nothing new."""
+    parts = [digest_section(title, rows, total, top) for title, rows, total in sections if total]
+    return f"<html><body><p>{generated_at}</p>{''.join(parts) or '<p>Nothing new</p>'}</body></html>"
+
+
 def digest_section(title: str, rows: DataFrame, total: int, top: int = TOP) -> str:
     """HTML of a section: the first rows, and how many more there are; the driver sees ``top`` rows."""
     shown = rows.limit(top).select(escape_html(F.col("title")).alias("title"), escape_html(F.col("company")).alias("company"), escape_html(F.col("url")).alias("url")).collect()

@@ -18,7 +18,10 @@ from ..operators import select as search
 from ..operators.expand import numbered_positions
 from ..operators.normalize import clean_details, normalize, stable_id
 from ..operators.schema import detail, detail_of
+from ..sources import html, paged
+from ..sources.boards import SHOWN
 from ..sources.feed import csv_rows
+from .components import components
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
@@ -127,16 +130,15 @@ def bucket_histogram(spark, sf):
     return table(spark, sf, "part").groupBy(numbers.vacancy_bucket(count).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"with {LISTINGS}, o as (select * from listings where {OPEN}) select count(distinct company) companies, count(distinct location) locations, count(*) filter ({KIND} <> 'undisclosed') listed, count(*) filter ({KIND} = 'numeric') comparable, count(*) filter ({KIND} = 'scale') as scale, count(*) filter ({KIND} = 'negotiable') negotiable, count({COUNT}) vacancies_listed, count(*) filter ({COUNT} = 1) single, count(*) filter ({COUNT} between 2 and 5) two_to_five, count(*) filter ({COUNT} >= 11) eleven_plus, (select string_agg(v, '|' order by v) from (select distinct split_part(location, ',', 1) v from o)) as places from o")
+@query(f"with {LISTINGS}, o as (select * from listings where {OPEN}) select count(*) filter ({KIND} <> 'undisclosed') listed, count(*) filter ({KIND} = 'numeric') comparable, count(*) filter ({KIND} = 'scale') as scale, count(*) filter ({KIND} = 'negotiable') negotiable, count({COUNT}) vacancies_listed, count(*) filter ({COUNT} = 1) single, count(*) filter ({COUNT} between 2 and 5) two_to_five, count(*) filter ({COUNT} >= 11) eleven_plus from o")
 def facet_counts(spark, sf):
-    f = search.facets(listings(spark, sf), TODAY)
     s, v = (lambda n: F.col(f"salary.{n}").alias(n)), (lambda n, a=None: F.col(f"vacancies.{n}").alias(a or n))
-    return f.select(F.size("companies").cast("long").alias("companies"), F.size("locations").cast("long").alias("locations"), s("listed"), s("comparable"), s("scale"), s("negotiable"), v("listed", "vacancies_listed"), v("single"), v("two_to_five"), v("eleven_plus"), F.array_join(F.array_sort("locations"), "|").alias("places"))
+    return search.facets(listings(spark, sf), TODAY).select(s("listed"), s("comparable"), s("scale"), s("negotiable"), v("listed", "vacancies_listed"), v("single"), v("two_to_five"), v("eleven_plus"))
 
 
-@query("select distinct p_type as facet_value from part where p_type <> ''")
+@query(f"with {LISTINGS}, o as (select * from listings where {OPEN}) select 'company' as facet, company as value, count(*) as n from o group by 2 union all select 'location', split_part(location, ',', 1), count(*) from o group by 2 union all select 'category', 'Other Technology', count(*) from o having count(*) > 0")
 def facet_values(spark, sf):
-    return table(spark, sf, "part").select(text.or_null(F.col("p_type")).alias("facet_value")).where("facet_value is not null").distinct()
+    return search.facet_values(listings(spark, sf), TODAY)
 
 
 @query(f"with {LISTINGS} select count(*) total, count(*) filter (closing_date <= date '{TODAY}' + 3) expiring, count(*) filter (date '{TODAY}' - post_date between 0 and 6) recent from listings where {OPEN}")
@@ -144,9 +146,9 @@ def view_stats(spark, sf):
     return search.stats(listings(spark, sf), TODAY)
 
 
-@query("with d as (select source as name, n_chars from documents) select name, count(*) as n, min(n_chars) shortest, max(n_chars) longest from d group by 1")
+@query("select source as name, count(*) as n, min(n_chars) shortest, max(n_chars) longest from documents group by 1")
 def source_counts(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+    return lifecycle.source_counts(table(spark, sf, "documents"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest")).withColumnRenamed("source", "name")
 
 
 @query("select event_type as name, count(*) as count, min(ts) oldest_seen_at, max(ts) latest_seen_at from events group by 1")
@@ -184,10 +186,7 @@ def multi_sort_modes(spark, sf):
 @query("with r as (select c_mktsegment segment, o_orderkey, row_number() over (partition by c_mktsegment order by o_totalprice desc, o_orderkey) rn, count(*) over (partition by c_mktsegment) n from orders join customer on o_custkey = c_custkey) select segment, o_orderkey, cast(rn as int) as rn, greatest(n - 5, 0) as more from r where rn <= 5")
 def top_n_per_group(spark, sf):
     joined = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("segment"), "o_orderkey", "o_totalprice")
-    order = Window.partitionBy("segment").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    top = joined.withColumn("rn", F.row_number().over(order)).where("rn <= 5")  # Spark keeps five rows a group before the shuffle
-    size = joined.groupBy("segment").agg(F.count("*").alias("n"))
-    return top.join(size, "segment").select("segment", "o_orderkey", "rn", F.greatest(F.col("n") - 5, F.lit(0).cast("long")).alias("more"))
+    return summary.top_in_groups(joined, "segment", [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("segment", "o_orderkey", F.col("place").alias("rn"), "more")
 
 
 @query(f"with {LISTINGS} select (select count(*) from listings where id = '7') as by_id, (select max(closing_date) from listings) as latest")
@@ -199,13 +198,13 @@ def deep_link(spark, sf):
 # --- joins, sets, state --------------------------------------------------------------------------------------
 
 
-@query("select distinct user_id from events a where ts >= timestamp '2024-01-16' and not exists (select 1 from events b where b.ts < timestamp '2024-01-16' and b.user_id = a.user_id and b.event_type = a.event_type)")
+@query("with k as (select distinct cast(user_id as varchar) || ':' || event_type || ':' || cast(event_id % 3 as varchar) as id, ts >= timestamp '2024-01-16' as late from events) select id from k where late and id not in (select id from k where not late)")
 def new_rows_antijoin(spark, sf):
     e = table(spark, sf, "events")
-    rows = lambda d: d.select(F.concat_ws(":", "user_id", "event_type").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("array<struct<source:string,url:string>>").alias("also_found_on"), "user_id").distinct()
+    rows = lambda d: d.select(F.concat_ws(":", "user_id", "event_type", F.col("event_id") % 3).alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("array<struct<source:string,url:string>>").alias("also_found_on")).distinct()
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
     at = F.col("ts").cast("timestamp_ntz")
-    return summary.new_rows(rows(e.where(at >= cut)), rows(e.where(at < cut))).select("user_id").distinct()
+    return summary.new_rows(rows(e.where(at >= cut)), rows(e.where(at < cut))).select("id").distinct()
 
 
 @query("select row_number() over (order by o_totalprice desc, o_orderkey) - 1 as position, o_orderkey, c_name from orders join customer on o_custkey = c_custkey qualify position < 20")
@@ -221,31 +220,35 @@ def hydrate_ids(spark, sf):
 def ref_integrity(spark, sf):
     l, o, d, lab, c, s = (table(spark, sf, t) for t in ("lineitem", "orders", "documents", "labels", "customer", "supplier"))
     lost = lambda rows, name: rows.agg(F.lit(name).alias("check_name"), F.count("*").alias("n"))
-    a = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("x"))
-    b = s.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("y"))
-    differ = a.join(b, "k", "full_outer").where("coalesce(x, 0) <> coalesce(y, 0)")
-    out = lost(l.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), "lineitem without order")
-    return out.unionByName(lost(lab.join(d, "doc_id", "left_anti"), "label without document")).unionByName(lost(differ, "nation counts differ"))
+    out = lost(quality.lost_references(l, "l_orderkey", o, "o_orderkey"), "lineitem without order")
+    out = out.unionByName(lost(quality.lost_references(lab, "doc_id", d, "doc_id"), "label without document"))
+    return out.unionByName(lost(quality.differing_counts(c.select(F.col("c_nationkey").alias("k")), s.select(F.col("s_nationkey").alias("k")), "k"), "nation counts differ"))
 
 
-def _run(spark, sf, first: str, last: str, at: str) -> DataFrame:
-    e = table(spark, sf, "events").where(F.col("ts").cast("timestamp_ntz").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
-    url = F.concat(F.lit("https://x.example/"), F.col("user_id").cast("string"))
-    raw = e.select(F.col("event_type").alias("source"), url.alias("url"), url.alias("source_url"), F.concat_ws(" ", "event_type", "user_id").alias("title")).distinct()
+CUT = "2024-01-16"
+
+
+def _run(spark, sf, late: bool, at: str) -> DataFrame:
+    at_ = F.col("ts").cast("timestamp_ntz")
+    cut = F.lit(CUT).cast("timestamp_ntz")
+    e = table(spark, sf, "events").where(at_ >= cut if late else at_ < cut)
+    item = F.concat_ws("-", "user_id", F.col("event_id") % 2)
+    url = F.concat(F.lit("https://x.example/"), item)
+    raw = e.select(F.col("event_type").alias("source"), url.alias("url"), url.alias("source_url"), F.concat_ws(" ", F.col("event_type"), item).alias("title")).distinct()
     return raw.withColumns({"id": stable_id(F.col("source"), F.col("url")), "scraped_at": F.lit(at)})
 
 
-@query("""with p as (select distinct event_type source, user_id from events where ts between timestamp '2024-01-01' and timestamp '2024-01-03'), f as (select distinct event_type source, user_id from events where ts between timestamp '2024-01-04' and timestamp '2024-01-05'),
-st as (select source, row_number() over (order by source) % 3 as k from (select distinct event_type source from events)), a as (select f.source, 'active' s, 0 as m, count(*) n from f group by 1 union all select p.source, 'active', 0, count(*) from p join f using (source, user_id) group by 1
-union all select p.source, case st.k when 0 then 'unconfirmed' when 1 then 'source_unavailable' else 'unmanaged' end, case st.k when 0 then 1 else 0 end, count(*) from p anti join f using (source, user_id) join st using (source) group by 1, 2, 3)
+@query("""with p as (select distinct event_type source, user_id, event_id % 2 e from events where ts < timestamp '2024-01-16'), f as (select distinct event_type source, user_id, event_id % 2 e from events where ts >= timestamp '2024-01-16'),
+st as (select source, row_number() over (order by source) % 3 as k from (select distinct event_type source from events)), a as (select f.source, 'active' s, 0 as m, count(*) n from f group by 1 union all select p.source, 'active', 0, count(*) from p join f using (source, user_id, e) group by 1
+union all select p.source, case st.k when 0 then 'unconfirmed' when 1 then 'source_unavailable' else 'unmanaged' end, case st.k when 0 then 1 else 0 end, count(*) from p anti join f using (source, user_id, e) join st using (source) group by 1, 2, 3)
 select source, s as lifecycle_status, cast(m as int) as missed_runs, cast(sum(n) as bigint) as n from a group by 1, 2, 3""")
 def lifecycle_reconcile(spark, sf):
-    old = normalize(_run(spark, sf, "2024-01-01", "2024-01-03", "2024-01-03T00:00:00Z"), "2024-01-03T00:00:00Z")
-    new = normalize(_run(spark, sf, "2024-01-04", "2024-01-05", "2024-01-05T00:00:00Z"), "2024-01-05T00:00:00Z")
+    old = normalize(_run(spark, sf, False, "2024-01-15T00:00:00Z"), "2024-01-15T00:00:00Z")
+    new = normalize(_run(spark, sf, True, "2024-01-31T00:00:00Z"), "2024-01-31T00:00:00Z")
     kinds = table(spark, sf, "events").select(F.col("event_type").alias("source")).distinct()
     k = F.row_number().over(Window.orderBy("source")) % 3
     status = kinds.withColumn("k", k).select("source", F.when(F.col("k") == 0, "healthy").when(F.col("k") == 1, "failed").otherwise("skipped").alias("status"))
-    out = lifecycle.reconcile(old, new, status, "2024-01-05T00:00:00Z")
+    out = lifecycle.reconcile(old, new, status, "2024-01-31T00:00:00Z")
     return out.groupBy("source", "lifecycle_status", "missed_runs").agg(F.count("*").alias("n"))
 
 
@@ -260,37 +263,37 @@ def source_health(spark, sf):
 
 @query("select user_id, min(ts) first_seen, max(ts) last_seen, bool_or(event_type = 'purchase') any_purchase, min(value) least_value from events group by 1")
 def first_seen_last_seen(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").cast("timestamp_ntz").alias("first_seen"), F.max("ts").cast("timestamp_ntz").alias("last_seen"), F.bool_or(F.col("event_type") == "purchase").alias("any_purchase"), F.min("value").alias("least_value"))
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return lifecycle.seen_span(e, "user_id", "ts", F.bool_or(F.col("event_type") == "purchase").alias("any_purchase"), F.min("value").alias("least_value"))
 
 
 @query("select role, text, min(conv_id) as conv_id from conversations group by 1, 2")
 def first_occurrence(spark, sf):
-    order = Window.partitionBy("role", "text").orderBy("conv_id", "turn")
-    return table(spark, sf, "conversations").withColumn("n", F.row_number().over(order)).where("n = 1").select("role", "text", "conv_id")
+    rows = table(spark, sf, "conversations").withColumn("url", F.concat_ws(":", "role", F.sha2("text", 256)))
+    return html.first_occurrences(rows, "conv_id", "turn").select("role", "text", "conv_id")
 
 
 @query("with p as (select event_id // 100 as page, user_id % 40 as item from events), first as (select item, min(page) page from p group by 1), n as (select page, count(*) as fresh from first group by 1) select distinct p.page from p left join n using (page) where n.fresh is null or page in (select page from (select page, min(page) over (partition by sig) m from (select page, string_agg(distinct cast(item as varchar), ',' order by cast(item as varchar)) sig from p group by 1)) where m < page)")
 def repeated_page_check(spark, sf):
-    from ..sources.html import stalled_pages
-
-    return stalled_pages(table(spark, sf, "events").select(F.floor(F.col("event_id") / 100).cast("long").alias("page"), F.col("event_id").alias("position"), (F.col("user_id") % 40).cast("string").alias("url")))
+    return html.stalled_pages(table(spark, sf, "events").select(F.floor(F.col("event_id") / 100).cast("long").alias("page"), F.col("event_id").alias("position"), (F.col("user_id") % 40).cast("string").alias("url")))
 
 
 @query("select user_id, arg_max(event_type, (ts, event_id)) as last_type, min(event_id) as first_event from events group by 1")
 def last_write_wins(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.min("event_id").alias("first_event"))
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    last = lifecycle.last_writes(e, ["user_id"], ["ts", "event_id"]).select("user_id", F.col("event_type").alias("last_type"))
+    first = lifecycle.last_writes(e, ["user_id"], ["event_id"]).select("user_id", F.col("first_at.event_id").alias("first_event"))
+    return last.join(first, "user_id")
 
 
 @query("select o_custkey, max(cast(o_orderdate as date)) as latest_day, arg_min(o_orderkey, (-epoch(o_orderdate), o_orderkey)) as latest_key, min(cast(o_orderdate as date)) as earliest_day, arg_min(o_orderkey, (epoch(o_orderdate), o_orderkey)) as earliest_key from orders group by 1")
 def best_date_per_cluster(spark, sf):
-    at = F.to_date("o_orderdate")
-    rank = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max(at).alias("latest_day"), F.min_by("o_orderkey", F.struct(-rank, "o_orderkey")).alias("latest_key"), F.min(at).alias("earliest_day"), F.min_by("o_orderkey", F.struct(rank, "o_orderkey")).alias("earliest_key"))
+    return resolve.best_days(table(spark, sf, "orders").withColumn("day", F.to_date("o_orderdate")), "o_custkey", "day", "o_orderkey")
 
 
 @query("with k as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents) select min(doc_id) as doc_id, count(*) - 1 as removed from k group by t")
 def exact_dedupe(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.sha2(F.lower(text.squeeze(F.col("text"))), 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("removed")).drop("k")
+    return resolve.exact_copies(table(spark, sf, "documents"), F.lower(text.squeeze(F.col("text"))), "doc_id")
 
 
 @query()
@@ -313,10 +316,9 @@ def normalize_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", s.alias("squeezed"), F.length(s).cast("long").alias("n"))
 
 
-@query("select doc_id, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), '[\\p{P}\\p{S}]+', ' ', 'g'), '\\s+', ' ', 'g')) as folded from documents where not regexp_matches(lower(text), 'urgent|new|announced|position title')")
+@query(f"with a as (select doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as t from documents), b as (select doc_id, regexp_replace(regexp_replace(t, '(^|[^a-z0-9_])({text.NOISE})($|[^a-z0-9_])', '\\1 \\3', 'g'), '(^|[^a-z0-9_])({text.NOISE})($|[^a-z0-9_])', '\\1 \\3', 'g') as t from a) select doc_id, trim(regexp_replace(regexp_replace(t, '[\\p{{P}}\\p{{S}}]+', ' ', 'g'), '\\s+', ' ', 'g')) as folded from b")
 def comparable_text(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.lower("text").rlike("urgent|new|announced|position title"))
-    return docs.select("doc_id", text.comparable(F.col("text")).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", text.comparable(F.col("text")).alias("folded"))
 
 
 @query("with e as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}'), lambda x: lower(x)))) as email from documents) select doc_id, email from e")
@@ -324,9 +326,15 @@ def email_extract(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email")).where(text.is_email(F.col("email")))
 
 
-@query()
+_NUMBER = "lpad(cast(c_custkey as varchar), 6, '0')"
+
+
+@query(f"select c_custkey, '+93700' || {_NUMBER} as phone from customer where c_custkey % 5 <> 4")
 def phone_extract(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(contacts.phones(F.concat(F.lit("tel 0700123456, "), F.col("text")))).alias("phone"))
+    """Numbers written in four ways, found in a text; a fifth one is an amount, with no word for a phone near it."""
+    k, n = F.col("c_custkey") % 5, F.lpad(F.col("c_custkey").cast("string"), 6, "0")
+    said = F.when(k == 0, F.concat(F.lit("call 0700"), n)).when(k == 1, F.concat(F.lit("+93 (700) "), F.substring(n, 1, 3), F.lit("-"), F.substring(n, 4, 3))).when(k == 2, F.concat(F.lit("0093-700-"), n)).when(k == 3, F.concat(F.lit("Mobile: 93700"), n, F.lit("; mobile 93700"), n)).otherwise(F.concat(F.lit("0700"), n, F.lit(" units")))
+    return table(spark, sf, "customer").select("c_custkey", F.explode(contacts.phones(F.concat("c_name", F.lit(" of 10.0.70.1, "), said, F.lit(", 5 - 7")), None)).alias("phone"))
 
 
 _TAGS = "'<[^>]+>', ' ', 'g')"
@@ -358,17 +366,15 @@ def page_count(spark, sf):
 
 @query("with l as (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) as href from pages) select page_id, count(*) as links, count(distinct href) as targets from l group by 1")
 def link_extract(spark, sf):
-    links = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("href"))
+    links = table(spark, sf, "pages").select("page_id", F.explode(urls.links(F.col("html"))).alias("href"))
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"))
 
 
-@query()
+@query("with m as (select page_id, regexp_extract_all(html, '<li><a href=\"([^\"]+)\">[^<]*</a></li>', 1) as h, regexp_extract_all(html, '<li><a href=\"[^\"]+\">([^<]*)</a></li>', 1) as t from pages), l as (select page_id, unnest(range(len(h))) as i, h, t from m) select page_id, cast(i as int) as position, 'https://board.example' || h[i + 1] as url, replace(t[i + 1], '&amp;', '&') as title from l")
 def listing_cards(spark, sf):
     """Cards of the pages' menus, through a board adapter."""
-    from ..sources.html import Adapter, listing_rows
-
-    board = Adapter(source="menu", base="https://board.example/", cards="nav li", link="a[href]")
-    return listing_rows(table(spark, sf, "pages").select("page_id", "html"), board).select("page_id", "position", "url", "title")
+    board = html.Adapter(source="menu", base="https://board.example/", cards="nav li", link="a[href]")
+    return html.listing_rows(table(spark, sf, "pages").select("page_id", "html"), board).select("page_id", "position", "url", "title")
 
 
 @query("select doc_id, cast(least(3, cast(contains(' ' || t || ' ', ' license ') as int) + cast(contains(' ' || t || ' ', ' the ') as int) + cast(contains(' ' || t || ' ', ' und ') as int)) * 10 as int) as score from (select doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')) t from documents)")
@@ -389,10 +395,9 @@ def relevance_audit(spark, sf):
     return out.groupBy("relevance.decision", "quality").agg(F.count("*").alias("n"))
 
 
-@query("with c as (select doc_id, unnest(list_filter(list_transform(string_split_regex(text, '[\\r\\n;!?•]+|\\.(?:\\s+|$)'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) as clause from documents where not regexp_matches(text, '(?i)\\b[bm]\\s*\\.\\s*(s|sc)\\s*\\.')) select doc_id, count(*) as clauses from c group by 1")
+@query("with j as (select doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(^|[^a-z0-9_])([bm])\\s*\\.\\s*(s|sc)\\s*\\.', '\\1\\2\\3', 'g'), '(?i)(^|[^a-z0-9_])([bm])\\s*\\.\\s*(s|sc)\\s*\\.', '\\1\\2\\3', 'g') as t from documents) select doc_id, cast(len(list_filter(list_transform(string_split_regex(t, '[\\r\\n;!?•]+|\\.(?:\\s+|$)'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))) as bigint) as clauses from j")
 def clause_split(spark, sf):
-    docs = table(spark, sf, "documents").where(~F.col("text").rlike(r"(?i)\b[bm]\s*\.\s*(s|sc)\s*\."))
-    return docs.select("doc_id", F.size(text.clauses(F.col("text"))).cast("long").alias("clauses")).where("clauses > 0")
+    return table(spark, sf, "documents").select("doc_id", F.size(text.clauses(F.col("text"))).cast("long").alias("clauses"))
 
 
 @query()
@@ -403,11 +408,6 @@ def bundle_expand(spark, sf):
     return roles.select("doc_id", "r.number", "r.title", "r.openings", F.length("r.text").alias("n"))
 
 
-@query("select doc_id, regexp_extract(text, '\\S+') as first_word from documents")
-def first_words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"\S+", 0).alias("first_word"))
-
-
 @query()
 def describe_blocks(spark, sf):
     b = table(spark, sf, "documents").select("doc_id", F.explode(describe.description_blocks(F.col("text"))).alias("b"))
@@ -445,11 +445,15 @@ def location_split(spark, sf):
     return search.derived(parts, TODAY).select(F.explode("_places").alias("place")).groupBy("place").agg(F.count("*").alias("n"))
 
 
-@query("select p_partkey, case p_partkey % 5 when 0 then 'Software & Web' when 1 then 'Network & Telecom' when 2 then 'IT Leadership' when 3 then 'IT Operations' else 'Other Technology' end as role from part")
+_TITLES = ["Senior Web Developer", "Fiber Network Technician", "Head of IT", "Officer", "Database Officer", "Back-end programmer", "ICT & Communication", "Product Service Delivery Lead", "Helpdesk", "IT  project manager", "Mobile money agent"]
+_IN_SQL = "case p_partkey % 11 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(_TITLES)) + " end"
+
+
+@query(f"with t as (select p_partkey, lower({_IN_SQL}) as title, lower({_IN_SQL} || case when p_partkey % 7 = 0 then ' runs the help desk' else '' end) as context from part) select p_partkey, case when regexp_matches(title, '\\b(software|web|frontend|front-end|backend|back-end|full[ -]?stack|mobile|wordpress|php|programmer|application)\\b') and regexp_matches(title, '\\b(developer|development|engineer|intern|specialist|programmer)\\b') then 'Software & Web' when regexp_matches(title, '\\b(network|telecom|fiber|ict\\s*(&|and)\\s*communication)\\b') then 'Network & Telecom' when regexp_matches(title, '\\b(head\\s+of\\s+it|product\\s*&?\\s*service\\s+delivery|it\\s+project\\s+manager)\\b') then 'IT Leadership' when regexp_matches(context, '\\b(database|technician|help\\s*desk|support)\\b') then 'IT Operations' else 'Other Technology' end as role from t")
 def role_taxonomy(spark, sf):
-    k = F.col("p_partkey") % 5
-    title = F.when(k == 0, "Senior Web Developer").when(k == 1, "Fiber Network Technician").when(k == 2, "Head of IT").when(k == 3, "Officer").otherwise("Officer")
-    rows = table(spark, sf, "part").select("p_partkey", title.alias("title"), F.when(k == 3, "runs the help desk").alias("description"))
+    k = F.col("p_partkey")
+    title = F.element_at(F.array(*[F.lit(t) for t in _TITLES]), (k % len(_TITLES) + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", title.alias("title"), F.when(k % 7 == 0, "runs the help desk").alias("description"))
     return search.derived(rows, TODAY).select("p_partkey", F.col("_role").alias("role"))
 
 
@@ -466,13 +470,28 @@ def stable_ids(spark, sf):
 
 @query("select c_custkey, cast((c_name <> '')::int + (c_mktsegment <> '')::int + (c_acctbal > 0)::int as int) as filled from customer")
 def completeness_score(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", sum((quality.filled(c).cast("int") for c in (F.col("c_name"), F.col("c_mktsegment"), F.when(F.col("c_acctbal") > 0, "y"))), F.lit(0)).alias("filled"))
+    return table(spark, sf, "customer").select("c_custkey", quality.completeness(F.col("c_name"), F.col("c_mktsegment"), F.when(F.col("c_acctbal") > 0, "y")).alias("filled"))
 
 
-@query("select 'price is not positive' as rule, 'error' as severity, count(*) as n from orders where o_totalprice <= 1000 having count(*) > 0 union all select 'priority is urgent', 'warning', count(*) from orders where o_orderpriority like '1%' having count(*) > 0 union all select 'order before 1996', 'warning', count(*) from orders where year(o_orderdate) < 1996 having count(*) > 0")
+_RULES = f"""with {LISTINGS}, l as (select *, cast(id as bigint) k from listings) select 'url is missing' as rule, 'error' as severity, count(*) as n from l where k % 10 = 0 having count(*) > 0
+union all select 'source_url is missing', 'error', count(*) from l where k % 10 = 0 having count(*) > 0 union all select 'application method is unknown to the schema', 'error', count(*) from l where k % 3 = 2 having count(*) > 0
+union all select 'method email without an address', 'error', count(*) from l where k % 3 = 0 having count(*) > 0 union all select 'method web without a link', 'error', count(*) from l where k % 3 = 1 and k % 10 = 0 having count(*) > 0
+union all select 'closing_date is no day', 'error', count(*) from l where closing_date < date '2000-01-01' having count(*) > 0 union all select 'post_date is no day', 'error', count(*) from l where post_date < date '2000-01-01' having count(*) > 0
+union all select 'missed runs are negative', 'error', count(*) from l where k % 7 = 0 having count(*) > 0 union all select 'relevance is missing', 'error', count(*) from l having count(*) > 0
+union all select 'description is missing', 'warning', count(*) from l where k % 2 = 1 having count(*) > 0 union all select 'expired', 'warning', count(*) from l where closing_date < date '{TODAY}' having count(*) > 0
+union all select 'url is not unique', 'error', count(*) from (select k // 4 from l where k % 10 <> 0 group by 1 having count(*) > 1) having count(*) > 0"""
+
+
+@query(_RULES)
 def dq_violations(spark, sf):
-    rules = [("price is not positive", "error", F.col("o_totalprice") > 1000), ("priority is urgent", "warning", ~F.col("o_orderpriority").startswith("1")), ("order before 1996", "warning", F.year("o_orderdate") >= 1996)]
-    return quality.check_rows(table(spark, sf, "orders"), rules, "o_orderkey").groupBy("rule", "severity").agg(F.count("*").alias("n"))
+    """All rules of a feed, over listings that break some of them."""
+    k = F.col("id").cast("long")
+    url = F.when(k % 10 != 0, F.concat(F.lit("https://x.example/"), F.floor(k / 4).cast("string")))
+    at = F.lit("2024-01-01T00:00:00Z")
+    rows = listings(spark, sf).withColumns({"url": url, "source_url": url, "apply_url": url, "application_method": F.element_at(F.array(F.lit("email"), F.lit("web"), F.lit("fax")), (k % 3 + 1).cast("int")), "missed_runs": F.when(k % 7 == 0, -1).otherwise(0), "description": F.when(k % 2 == 0, "d"), "lifecycle_status": F.lit("active"), "scraped_at": at, "first_seen_at": at, "last_seen_at": at})
+    for n, t in (("apply_emails", "array<string>"), ("apply_phones", "array<string>")):
+        rows = rows.withColumn(n, F.array().cast(t))
+    return quality.violations(rows, TODAY).groupBy("rule", "severity").agg(F.count("*").alias("n"))
 
 
 @query("with a as (select event_type, count(*) filter (ts < timestamp '2024-01-16') base, count(*) filter (ts >= timestamp '2024-01-16') as current from events group by 1) select event_type, cast(ceil(base * 0.65) as bigint) as least_allowed, current, current >= ceil(base * 0.65) as passes from a")
@@ -488,29 +507,53 @@ def csv_escape(spark, sf):
     return csv_rows(table(spark, sf, "documents").withColumn("cell", F.col("text")), ["doc_id", "cell"]).select(F.col("doc_id").cast("long").alias("doc_id"), "cell")
 
 
-@query("select conv_id, turn, 'mailto:' || role || '@x.example?subject=' || replace(url_encode(left(text, 20)), '+', '%20') as link from conversations where regexp_matches(left(text, 20), '^[A-Za-z ]+$')")
-def mail_links(spark, sf):
-    short = F.substring("text", 1, 20)
-    rows = table(spark, sf, "conversations").where(short.rlike("^[A-Za-z ]+$"))
-    return rows.select("conv_id", "turn", urls.mail_link(F.concat("role", F.lit("@x.example")), short, F.lit(True)).alias("link"))
-
-
 @query()
-def mail_links_whole(spark, sf):
+def mail_links(spark, sf):
     """Links with the whole text of every turn; DuckDB's url_encode writes ``~`` and ``*`` in another way."""
     link = urls.mail_link(F.concat("role", F.lit("@x.example")), F.col("text"), F.lit(True))
     return table(spark, sf, "conversations").select("conv_id", "turn", link.alias("link"))
 
 
-@query("""with d as (select doc_id, source, trim(regexp_replace(text, '\\s+', ' ', 'g')) t from documents), s as (select doc_id, source, t, 10 * cast(contains(lower(t), 'license') as int) + cast(length(t) > 1000 as int) as score from d),
-k as (select min(doc_id) as doc_id, t, max(score) as score from s where score > 0 group by t) select doc_id, cast(score as int) as score, row_number() over (order by score desc, doc_id) as place from k qualify place <= 100""")
+@query(f"with {LISTINGS}, o as (select * from listings where {OPEN} and {KIND} = 'numeric'), k as (select company, title, min(cast(id as bigint)) as id, count(*) - 1 as removed from o group by 1, 2) select cast(k.id as varchar) as id, k.removed, closing_date, row_number() over (order by closing_date, post_date desc, o.title, k.id) as place from k join o on o.id = cast(k.id as varchar) qualify place <= 100")
 def flagship(spark, sf):
-    """Score, keep, deduplicate by normalised text, order: the engine in one query."""
-    t = text.squeeze(F.col("text"))
-    scored = table(spark, sf, "documents").select("doc_id", (10 * F.contains(F.lower(t), F.lit("license")).cast("int") + (F.length(t) > 1000).cast("int")).alias("score"), F.sha2(t, 256).alias("k")).where("score > 0")
-    kept = scored.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.max("score").alias("score"))
-    top = kept.orderBy(F.desc("score"), "doc_id").limit(100)
-    return top.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long").alias("place"))
+    """Open listings with a salary that can be compared, one of each company and title, by their deadline: the first hundred."""
+    rows = search.select(listings(spark, sf), TODAY, salary="numeric").withColumn("key", F.col("id").cast("long"))
+    kept = resolve.exact_copies(rows, F.concat_ws("|", "company", "title"), "key")
+    order = [*search.deadline_order(), F.col("key")]
+    top = rows.join(kept, "key").orderBy(*order).limit(100)  # a top-k, so that numbering sees 100 rows
+    return top.select("id", "removed", "closing_date", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+@query("with recursive e as (select o_orderkey a, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) b from orders), u as (select a, b from e where b is not null union all select b, a from e where b is not null), r as (select distinct a as id, a as low from u union select u.b, r.low from r join u on u.a = r.id where r.low < u.b) select id, min(low) as component from r group by 1")
+def connected_components(spark, sf):
+    """Orders linked with the next one of their customer."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    edges = table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(order).alias("b"))
+    return components(edges)
+
+
+@query("select source, case lower(source) when 'acbar' then 'ACBAR' when 'kaarobar' then 'Kaarobar' else source end as shown, min(doc_id) as doc_id from (select doc_id, case doc_id % 4 when 0 then 'acbar' when 1 then 'Kaarobar' else source end as source from documents) group by 1")
+def source_names(spark, sf):
+    k = F.col("doc_id") % 4
+    rows = table(spark, sf, "documents").select("doc_id", F.when(k == 0, "acbar").when(k == 1, "Kaarobar").otherwise(F.col("source")).alias("source"))
+    return rows.groupBy("source").agg(F.min("doc_id").alias("doc_id")).select("source", search.source_name(F.col("source"), SHOWN).alias("shown"), "doc_id")
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%B %-d, %Y') as long_day, strftime(o_orderdate, '%b %-d, %Y') as short_day from orders")
+def display_days(spark, sf):
+    day = F.to_date("o_orderdate")
+    return table(spark, sf, "orders").select("o_orderkey", dates.display_day(day).alias("long_day"), dates.display_day(day, True).alias("short_day"))
+
+
+@query("with l as (select event_id // 100 as page, max(user_id % 13) as linked from events group by 1), s as (select page, linked, max(case when linked > page then linked end) over (order by page rows unbounded preceding) as known from l) select page, case when known is not null then greatest(known, linked) end as last, known is not null as known from s")
+def last_page_known(spark, sf):
+    pages = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 100).cast("long").alias("page")).agg(F.max(F.col("user_id") % 13).alias("linked"))
+    return paged.last_pages(pages)
+
+
+@query(f"with {LISTINGS} select id, closing_date from listings where closing_date >= date '1998-06-02'")
+def legacy_open(spark, sf):
+    return lifecycle.still_open_legacy(listings(spark, sf), "1998-06-01T19:30:00Z").select("id", "closing_date")
 
 
 FLAGSHIP = flagship
