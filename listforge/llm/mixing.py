@@ -8,8 +8,9 @@ shard is a stream of its documents in seeded order.  It is taken whole as often
 rest of the quota is a systematic sample of its blocks with a seeded start, so what each document gives is a
 closed formula of the place of its words in the stream: no block becomes a row.
 
-A source has at most ``SHARDS`` shards, so the apportionment handles a bounded number of rows a source, and
-a source with a third of all rows is spread over that many.
+A source has a shard for every ``LEAST`` blocks, ``SHARDS`` at most, so the apportionment handles a bounded number
+of rows a source, and a source with a third of all rows is spread over that many.  One task holds a row of a few
+numbers for each source (10 million hosts take some 500 MB).
 
 Defined cases: a null text has no words; a null source is a source of its own, after all others; a document
 without words and a source without words take 0; repeated rows, and rows that share an id, are separate documents
@@ -31,35 +32,44 @@ from pyspark.sql.window import Window
 
 from .common import hashable, keyed, lean, n_words, save, table
 
-BLOCK, SHARDS = 64, 256
+BLOCK, SHARDS = 64, 16_384
 #: Blocks that a source's shard holds at least, before it is split.
-LEAST = 64
+LEAST = 1024
 
 
 def sainte_lague(weights, seats: int, caps) -> np.ndarray:
-    """Seats by highest quotients weight / (2 k + 1), first come first among equals, none above its cap."""
+    """Seats by highest quotients weight / (2 k + 1), first come first among equals, none above its cap.
+
+    A divisor is found by bisection that gives out all seats but those of about equal quotients, and these go one by one.
+    """
     w, caps = np.asarray(weights, float), np.asarray(caps, np.int64)
     got = np.zeros(len(w), np.int64)
-    seats = int(min(seats, caps[w > 0].sum()))
-    free = (w > 0) & (caps > 0)
-    while free.any():
-        # below this divisor no quotient can miss its seat: start there, then give out the rest one by one
-        left, n = seats - int(got[~free].sum()), int(free.sum())
-        got[free] = 0
-        if left > n / 2:
-            got[free] = np.floor(w[free] / (w[free].sum() / (left - n / 2)) + 0.5).astype(np.int64)
-        over = free & (got >= caps)
-        if not over.any():
+    live = np.flatnonzero((w > 0) & (caps > 0))
+    seats = int(min(seats, caps[live].sum()))
+    if seats <= 0:
+        return got
+    ww, cc = w[live], caps[live]
+    given = lambda d: np.minimum(np.floor(ww / d + 0.5), cc)
+    low, high = float((ww / (cc + 1)).min()) / 2, 3 * float(ww.max())
+    for _ in range(200):
+        middle = (low * high) ** 0.5
+        if not low < middle < high:
             break
-        got[over] = caps[over]
-        free &= ~over
-    heap = [(-w[i] / (2 * got[i] + 1), i) for i in np.flatnonzero((w > 0) & (got < caps))]
-    heapq.heapify(heap)
-    for _ in range(seats - int(got.sum())):
-        _, i = heapq.heappop(heap)
-        got[i] += 1
-        if got[i] < caps[i]:
-            heapq.heappush(heap, (-w[i] / (2 * got[i] + 1), i))
+        low, high = (low, middle) if given(middle).sum() <= seats else (middle, high)
+    got[live] = given(high * (1 + 1e-9)).astype(np.int64)
+    left = seats - int(got.sum())
+    if left:
+        open_ = live[got[live] < caps[live]]
+        quotient = w[open_] / (2 * got[open_] + 1)
+        # a source that gets one of these seats is among as many with the highest quotients
+        first = open_[np.lexsort((open_, -quotient))[:left]]
+        heap = [(-w[i] / (2 * got[i] + 1), i) for i in first.tolist()]
+        heapq.heapify(heap)
+        for _ in range(left):
+            _, i = heapq.heappop(heap)
+            got[i] += 1
+            if got[i] < caps[i]:
+                heapq.heappush(heap, (-w[i] / (2 * got[i] + 1), i))
     return got
 
 
