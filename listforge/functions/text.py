@@ -66,10 +66,10 @@ def legacy_html_lines(c: Column) -> Column:
     return html_lines(c, "p|li|h[1-6]|div|ul|ol", False, (*REFERENCES[:5], ("&#39;", "'")))
 
 
-def emails(c: Column, most: int = 20) -> Column:
-    """Distinct lower-case e-mail addresses in order, the first ``most``."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({EMAIL})"), F.lit(1))
-    return F.slice(F.array_distinct(F.transform(found, F.lower)), 1, most)
+def emails(c: Column, most: int | None = 20) -> Column:
+    """Distinct lower-case e-mail addresses in order: the first ``most``, as a listing holds, or all."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({EMAIL})"), F.lit(1)), F.lower))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def is_email(c: Column) -> Column:

@@ -79,7 +79,7 @@ def stable_records(df: DataFrame, priority: list[str]) -> DataFrame:
     step = keyed.withColumn("_places", places)
     several = F.size(F.array_distinct(F.transform("_places", lambda x: F.concat_ws("|", x["name"], x["url"])))) > 1
     identity = F.coalesce("_reference", "_role", "_fingerprint")
-    rest = F.array_sort(F.transform(F.slice("_places", 2, 1_000_000), lambda x: F.struct(x["source"].alias("source"), x["url"].alias("url"))))
+    rest = F.array_sort(F.transform(F.slice("_places", F.lit(2), F.greatest(F.size("_places"), F.lit(1))), lambda x: F.struct(x["source"].alias("source"), x["url"].alias("url"))))
     return step.withColumns(
         {
             "id": F.when(several & identity.isNotNull(), stable_id(F.lit("logical"), identity, F.lit(""))).otherwise(c("id")),

@@ -323,7 +323,7 @@ def comparable_text(spark, sf):
 
 @query("with e as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}'), lambda x: lower(x)))) as email from documents) select doc_id, email from e")
 def email_extract(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(text.emails(F.col("text"))).alias("email")).where(text.is_email(F.col("email")))
+    return table(spark, sf, "documents").select("doc_id", F.explode(text.emails(F.col("text"), None)).alias("email")).where(text.is_email(F.col("email")))
 
 
 _NUMBER = "lpad(cast(c_custkey as varchar), 6, '0')"
