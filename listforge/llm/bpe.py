@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gather, lean, table
+from .common import gather, lean, table, text_chunks
 
 #: Fixed value: the pattern that splits text before the merges of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -249,10 +249,9 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         codec = Codec(shipped.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts, CHARS):
-                ids, offsets = codec.encode(texts[a:b])
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets.astype(np.int32), ids.astype(np.int32))], [id_col, "token_ids"])
+            for a, texts in text_chunks(batch.column(1), CHARS):
+                ids, offsets = codec.encode(texts)
+                yield pa.record_batch([batch.column(0).slice(a, len(texts)), pa.ListArray.from_arrays(offsets.astype(np.int32), ids.astype(np.int32))], [id_col, "token_ids"])
 
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean(run), f"{id_col} long, token_ids array<int>")
 
@@ -279,11 +278,10 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         codec = Codec(shipped.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts, CHARS):
-                ids, offsets = codec.encode(texts[a:b])
+            for a, texts in text_chunks(batch.column(1), CHARS):
+                ids, offsets = codec.encode(texts)
                 sha = [[hashlib.sha256(x).hexdigest() for x in f(ids, offsets)] for f in (codec.decimal, codec.decode)]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets), pa.int64()), pa.array(sha[0]), pa.array(sha[1])], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.record_batch([batch.column(0).slice(a, len(texts)), pa.array(np.diff(offsets), pa.int64()), pa.array(sha[0]), pa.array(sha[1])], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("text")).mapInArrow(lean(run), f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

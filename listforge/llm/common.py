@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,16 +88,14 @@ def gather(flat: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np
     return flat[pos], lens
 
 
-def chunks(texts: list, limit: int = 4 << 20):
-    """(start, stop) ranges of ``texts`` of about ``limit`` characters."""
+def text_chunks(column: pa.Array, limit: int = 4 << 20):
+    """(start, texts) of runs of about ``limit`` bytes of a text column, null as empty: no more are Python objects at once."""
     start = total = 0
-    for i, t in enumerate(texts):
-        total += len(t) if t else 0
-        if total >= limit:
-            yield start, i + 1
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        total += n
+        if total >= limit or i + 1 == len(column):
+            yield start, [t or "" for t in column.slice(start, i + 1 - start).to_pylist()]
             start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -288,15 +288,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score_column(model: Model, text_col):
     """Score of a text column under ``model``, as a vectorised function."""
 
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def run(batches):
             scorer = Scorer(model)
             for texts in batches:
-                yield pd.Series([scorer.score(scorer.features(t)) for t in texts])
+                yield pa.array([scorer.score(scorer.features(t.as_py())) for t in texts], pa.float64())
 
         yield from lean(run)(parts)
 
-    return F.pandas_udf(score, "double")(text_col)
+    return F.arrow_udf(score, "double")(text_col)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
