@@ -230,12 +230,14 @@ def _words(batches):
             words = set(tokens)
             out.append([*("1" + w for w in words), *("0" + w for w in stems(words)), *("3" + w for w in after), *("2" + w for w in stems(after))])
         group = [int(s[0]) >> 1 if len(s := shingle_set(t.as_py())) else 0 for t in batch.column(0)]
-        yield pa.record_batch([batch.column(1), pa.array(group, pa.int64()), pa.array(out, pa.list_(pa.string()))], ["y", "copy", "words"])
+        yield pa.record_batch([batch.column(1), batch.column(2), pa.array(group, pa.int64()), pa.array(out, pa.list_(pa.string()))], ["y", "doc_id", "copy", "words"])
 
 
 def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Model:
     """The lexicon learned: every feature of the sample that reaches the bounds, insults and threats told apart by their place."""
-    found = sample.select("text", "y").mapInArrow(lean(_words), "y int, copy long, words array<string>").dropDuplicates(["y", "copy"])
+    found = sample.select("text", "y", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(lean(_words), "y int, doc_id long, copy long, words array<string>")
+    # the copy with the smallest id speaks for the others, so that every run learns the same
+    found = found.groupBy("y", "copy").agg(F.min_by("words", "doc_id").alias("words"))
     counted = found.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (clean + 1))
     best = counted.where(F.col("pos") >= LEAST_ROWS).withColumn("odds", odds)
@@ -254,7 +256,7 @@ def _featured(model: Model):
     def run(batches):
         scorer = Scorer(model)
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf.y, "x": [scorer.features(t) for t in pdf.text]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "y": pdf.y, "x": [scorer.features(t) for t in pdf.text]})
 
     return run
 
@@ -278,7 +280,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if min(counts.get(0, 0), counts.get(1, 0)) == 0:
         return Model({(1, w): 3.0 for w in WORDS["insult"].split()})
     model = learn_lexicon(sample, min(TOXIC_ROWS, counts[1]), min(CLEAN_ROWS, counts[0]))
-    rows = sample.select("text", "y").mapInPandas(_featured(model), "y int, x array<double>").toPandas()
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y").mapInPandas(_featured(model), "doc_id long, y int, x array<double>").toPandas()
+    rows = rows.sort_values("doc_id", ignore_index=True)  # sums in one order
     if rows.y.nunique() == 2:
         weight = np.where(rows.y == 1, counts[1] / (rows.y == 1).sum(), counts[0] / (rows.y == 0).sum())
         model.coef = fit(np.array(rows.x.tolist()), rows.y.to_numpy(float), weight * len(rows) / weight.sum())
