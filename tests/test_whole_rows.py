@@ -1,6 +1,5 @@
-"""Queries and records that leave out no row and no part of a text."""
+"""Queries that leave out no row and no part of a text."""
 
-from listforge.llm import warc
 from listforge.plans import catalog
 
 PLAIN = set(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.*")
@@ -13,9 +12,3 @@ def test_mail_links_of_whole_texts(spark, tmp_path):
     got = {r.turn: r.link for r in catalog.queries()["mail_links"](spark, str(tmp_path)).collect()}
     encode = lambda t: "".join(chr(b) if b in PLAIN else f"%{b:02X}" for b in t.encode())
     assert got == {i: "mailto:user@x.example" + ("" if t is None else "?subject=" + encode(t)) for _, i, _, t in data}
-
-
-def test_warc_keeps_pages_whose_url_looks_like_a_version_block(spark):
-    pages = spark.createDataFrame([(1, "filedesc://x.arc", "<p>one"), (2, "http://a/", "<p>two")], "page_id long, url string, html string")
-    for way in (warc.rewritten(pages), warc.converted(warc.archives(pages))):
-        assert sorted((r.page_id, r.url, bytes(r.payload)) for r in warc.records(way).collect()) == [(1, "filedesc://x.arc", b"<p>one"), (2, "http://a/", b"<p>two")]
