@@ -124,13 +124,27 @@ def location_key(c: Column, compatibility: bool = True) -> Column:
     return squeeze(rx(comparable(c, compatibility), word("afghanistan|province"), " "))
 
 
+#: Technical names that are written out as words, each with a text that must stand there (in lower case).
+WRITTEN_OUT = [
+    (".net", [(f"(?i){word('asp[.]net')}", " asp net "), (r"(?i)(^|[\s(/])\.net(?=$|[\s),/])", "$1 dotnet ")]),
+    ("c++", [(r"(?<![a-z0-9_])c\+\+(?=$|[^\p{L}\p{N}])", " c plus plus ")]),
+    ("c#", [(r"(?<![a-z0-9_])c#(?=$|[^\p{L}\p{N}])", " c sharp ")]),
+]
+
+
 def phrase_tokens(c: Column, compatibility: bool = True) -> Column:
-    """Letters and digits of a text as lower-case words, with a few technical names written out."""
-    out = squeeze(c)
-    out = nfkc(out) if compatibility else out
-    out = chain(out, (f"(?i){word('asp[.]net')}", " asp net "), (r"(?i)(^|[\s(/])\.net(?=$|[\s),/])", "$1 dotnet "))
-    out = chain(F.lower(out), (r"(?<![a-z0-9_])c\+\+(?=$|[^\p{L}\p{N}])", " c plus plus "), (r"(?<![a-z0-9_])c#(?=$|[^\p{L}\p{N}])", " c sharp "))
-    return squeeze(chain(out, ("&", " and "), ("[/_-]+", " "), (r"(?U)[^\p{L}\p{N}\s]+", " ")))
+    """Letters and digits of a text as lower-case words, with a few technical names written out.
+
+    Patterns that look around them are slow on long texts, so a plain search decides whether they are tried.
+    """
+
+    def written_out(x: Column, sign: str, steps: list[tuple[str, str]]) -> Column:
+        return let(x, lambda t: F.when(F.contains(t, F.lit(sign)), chain(squeeze(t), *steps)).otherwise(t))
+
+    out = F.lower(nfkc(squeeze(c)) if compatibility else F.coalesce(c.cast("string"), F.lit("")))
+    for sign, steps in WRITTEN_OUT:
+        out = written_out(out, sign, steps)
+    return F.trim(rx(F.replace(out, F.lit("&"), F.lit(" and ")), r"[^\p{L}\p{N}]+", " "))
 
 
 def phrases_in(tokens: Column, phrases: list[str]) -> Column:
@@ -138,8 +152,8 @@ def phrases_in(tokens: Column, phrases: list[str]) -> Column:
 
     The lexicon is a literal array: its size is fixed when the plan is made.
     """
-    framed = F.concat(F.lit(" "), tokens, F.lit(" "))
-    return F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(framed, F.concat(F.lit(" "), p, F.lit(" "))) & (F.length(tokens) > 0))
+    known = F.array(*[F.lit(p) for p in phrases if p]).cast("array<string>")
+    return let(F.concat(F.lit(" "), tokens, F.lit(" ")), lambda framed: F.filter(known, lambda p: F.contains(framed, F.concat(F.lit(" "), p, F.lit(" ")))))
 
 
 def contains_phrase(tokens: Column, phrase: str) -> Column:
@@ -149,7 +163,7 @@ def contains_phrase(tokens: Column, phrase: str) -> Column:
 def clauses(c: Column) -> Column:
     """Clauses of a text: lines, sentences and bullet points; short degree names keep their full stops out of it."""
     joined = rx(F.coalesce(c, F.lit("")), r"(?i)(?<![A-Za-z0-9_])([bm])\s*\.\s*(s|sc)\s*\.", "$1$2")
-    return F.filter(F.transform(F.split(joined, r"[\r\n;!?•]+|\.(?:\s+|$)"), squeeze), lambda x: F.regexp_count(x, F.lit(r"[\p{L}\p{N}]")) > 0)
+    return F.filter(F.transform(F.split(joined, r"[\r\n;!?•]+|\.(?:\s+|$)"), squeeze), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
 def key_text(c: Column) -> Column:

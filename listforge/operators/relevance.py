@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clauses, contains_phrase, phrase_tokens, phrases_in
+from ..functions.text import clauses, contains_phrase, let, phrase_tokens, phrases_in
 from .schema import with_columns
 
 VERSION, THRESHOLD = 2, 55
@@ -57,38 +57,44 @@ def _texts(*parts: Column) -> Column:
     return F.flatten(F.transform(F.array_compact(F.concat(*parts)), clauses))
 
 
-def _near(tokens: Column, phrase: str, marks: list[str], breakers: list[str]) -> Column:
-    """Whether a mark stands within ``REACH`` tokens of the phrase, with no breaker between them."""
-    gap = rf"(?: [^ ]+){{0,{REACH - 1}}}? "
+def _near(framed: Column, phrase: str, marks: list[str], breakers: list[str]) -> Column:
+    """Whether a mark stands within ``REACH`` tokens of the phrase, with no breaker between them; tokens between blanks."""
     stop = "|".join(breakers)
     between = rf"(?:(?! (?:{stop}) )(?: [^ ]+)){{0,{REACH - 1}}}? "
     mark = f"(?:{'|'.join(marks)})"
-    framed = F.concat(F.lit(" "), tokens, F.lit(" "))
-    del gap
-    return framed.rlike(f" {mark}(?={between}{phrase} )") | framed.rlike(f" {phrase}(?={between}{mark} )")
+    # the plain search goes first: few clauses hold the phrase at all
+    return F.contains(framed, F.lit(f" {phrase} ")) & (framed.rlike(f" {mark}(?={between}{phrase} )") | framed.rlike(f" {phrase}(?={between}{mark} )"))
 
 
 def degree_field(lex: Lexicon, structured: Column, narrative: Column) -> Column:
     """struct<field, source> of the first computing degree asked for: in fields on education, else near a word for a degree."""
 
-    def in_clause(raw: Column, in_education: bool) -> Column:
-        tokens = phrase_tokens(raw, compatibility=False)
-        cased = F.regexp_replace(raw, r"[^\p{L}\p{N}]+", " ")
-        options = [F.when(raw.rlike(f"(?i)(?:^|[^a-z0-9]){c}(?=$|[^a-z0-9])") if c != "bit" else raw.rlike("(?:^|[^A-Za-z0-9])BIT(?=$|[^A-Za-z0-9])"), F.lit(label)) for c, label in lex.compact]
-        for name, label in lex.degree_fields:
-            here = contains_phrase(tokens, name) if in_education else _near(tokens, name, lex.degrees, lex.breakers)
-            options.append(F.when(here, F.lit(label)))
-        for name, label in lex.acronyms:
-            framed = F.concat(F.lit(" "), F.trim(cased), F.lit(" "))
-            here = F.contains(framed, F.lit(f" {name} "))
-            options.append(F.when(here if in_education else here & _near(tokens, name.lower(), lex.degrees, lex.breakers), F.lit(label)))
+    def alone(raw: Column, low: Column, code: str) -> Column:
+        """Whether a short degree name stands alone; "bit" is a word of its own, so only in capitals."""
+        if code == "bit":
+            return F.contains(raw, F.lit("BIT")) & raw.rlike("(?:^|[^A-Za-z0-9])BIT(?=$|[^A-Za-z0-9])")
+        return F.contains(low, F.lit(code)) & raw.rlike(f"(?i)(?:^|[^a-z0-9]){code}(?=$|[^a-z0-9])")
+
+    def label(x: Column, in_education: bool) -> Column:
+        """The field that a clause asks for; ``x``: its text, the same in lower case, and its tokens between blanks."""
+        options = [F.when(alone(x["raw"], x["low"], code), F.lit(field)) for code, field in lex.compact]
+        for name, field in lex.degree_fields:
+            here = F.contains(x["tokens"], F.lit(f" {name} ")) if in_education else _near(x["tokens"], name, lex.degrees, lex.breakers)
+            options.append(F.when(here, F.lit(field)))
+        for name, field in lex.acronyms:
+            here = F.contains(x["raw"], F.lit(name)) & x["raw"].rlike(rf"(?:^|[^\p{{L}}\p{{N}}]){name}(?=$|[^\p{{L}}\p{{N}}])")
+            options.append(F.when(here if in_education else here & _near(x["tokens"], name.lower(), lex.degrees, lex.breakers), F.lit(field)))
         return F.coalesce(*options)
 
-    first = lambda found: F.get(F.array_compact(found), F.lit(0))
-    by_field = first(F.transform(_texts(structured), lambda x: in_clause(x, True)))
-    by_text = first(F.transform(_texts(narrative), lambda x: in_clause(x, False)))
-    where = F.when(by_field.isNotNull(), "education requirement").when(by_text.isNotNull(), "requirements text")
-    return F.struct(F.coalesce(by_field, by_text).alias("field"), where.alias("source"))
+    def first(texts: Column, in_education: bool) -> Column:
+        tokens = lambda raw: F.concat(F.lit(" "), phrase_tokens(raw, compatibility=False), F.lit(" "))
+        read = F.transform(_texts(texts), lambda raw: F.struct(raw.alias("raw"), F.lower(raw).alias("low"), tokens(raw).alias("tokens")))
+        return F.get(F.array_compact(F.transform(read, lambda x: label(x, in_education))), F.lit(0))
+
+    def chosen(field: Column) -> Column:
+        return F.struct(F.coalesce(field["stated"], field["told"]).alias("field"), F.when(field["stated"].isNotNull(), "education requirement").when(field["told"].isNotNull(), "requirements text").alias("source"))
+
+    return let(F.struct(first(structured, True).alias("stated"), first(narrative, False).alias("told")), chosen)
 
 
 def _reason(name: str, phrase: Column, points: int) -> Column:
