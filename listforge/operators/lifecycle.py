@@ -81,7 +81,7 @@ def reconcile(published: DataFrame, fresh: DataFrame, sources: DataFrame, now: s
     fallback = c("enrichment_status").isNotNull() if "enrichment_status" in fresh.columns else F.lit(False)
     new = fresh.withColumns({"active": F.lit(True), "missed_runs": F.lit(0), "last_seen_at": at, "lifecycle_status": F.when(fallback, "source_unavailable").otherwise("active")}).select(*COLUMNS)
     seen_keys = fresh.select(F.explode(_keys()).alias("key")).distinct()
-    old = published.select(*COLUMNS).withColumn("_row", F.xxhash64("id", "source", "source_url", "url", "title"))
+    old = published.select(*COLUMNS).withColumn("_row", F.sha1(F.to_json(F.struct("id", "source", "source_url", "url", "title"))))
     seen = old.select("_row", F.explode(_keys()).alias("key")).join(seen_keys, "key", "left_semi").select("_row").distinct()
     again = old.join(seen, "_row", "left_semi").select(*COLUMNS)
     status = sources.select("source", F.col("status").alias("_status"))

@@ -7,7 +7,8 @@ through equal keys only: connected components over the keys are independent of e
 and each is replayed in order on its own.  A component of one record never reaches Python.
 
 A component is a superset of its clusters.  It is as large as the records that share keys; a key shared by many records
-(an url, a reference) names one vacancy, so these records are the copies of one row.
+(an url, a reference) names one vacancy, so these records are the copies of one row.  Both passes read sorted rows one
+after the other: the copies of an url leave one record in memory, a component leaves its clusters.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import hashlib
 import json
 import re
 import unicodedata
-
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -34,6 +36,8 @@ from .schema import COLUMNS, LISTING, detail
 FILLED = "title company location post_date post_date_raw closing_date closing_date_raw category job_type gender vacancies salary application_method application_subject application_subject_type apply_url description".split()
 COUNTED = "title company location post_date closing_date category job_type gender vacancies salary application_method application_subject apply_url description".split()
 STAGES = ("exact", "reference", "role", "fingerprint")
+#: Rows of a frame that goes back to Spark.
+BATCH = 2_000
 
 
 def source_rank(source: Column, priority: list[str]) -> Column:
@@ -196,13 +200,16 @@ class Replay:
             out["id"] = _id("logical", named, "") if named else out["id"]
         return out
 
-    def by_url(self, records: list[dict]) -> dict:
-        out = records[0]
-        for r in records[1:]:
-            out = self.merge(out, r)
-        return out
+    def by_url(self, records: Iterable[dict]) -> dict:
+        """One record of the copies of an url, in order; a record that is merged is not kept."""
+        copies = iter(records)
+        out = next(copies)
+        first, more = out["_order"], 0
+        for r in copies:
+            out, more = self.merge(out, r), more + 1
+        return {**out, "_first": first, "_exact": more}
 
-    def clusters(self, records: list[dict]) -> list[tuple[dict, dict[str, int]]]:
+    def clusters(self, records: Iterable[dict]) -> list[tuple[dict, dict[str, int]]]:
         """The greedy pass: clusters, each with its counts of merged records by key."""
         out: list[dict] = []
         counts: list[dict[str, int]] = []
@@ -223,13 +230,13 @@ class Replay:
             if at is None:
                 at = len(out)
                 out.append(r)
-                counts.append({"exact": r["_exact"]})
+                counts.append({"exact": int(r["_exact"])})
             else:
                 kept = out[at]
                 out[at] = self.merge(kept, r, mine[how])
                 out[at]["_ref"] = kept["_ref"] or r["_ref"] if self.order(kept) <= self.order(r) else r["_ref"] or kept["_ref"]
                 counts[at][how] = counts[at].get(how, 0) + 1
-                counts[at]["exact"] += r["_exact"]
+                counts[at]["exact"] += int(r["_exact"])
             for k, v in mine.items():
                 index[k][v] = at
         return list(zip(out, counts, strict=True))
@@ -244,6 +251,24 @@ def _plain(pdf: pd.DataFrame) -> list[dict]:
     return rows
 
 
+def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[Iterator[dict]]:
+    """The rows of each key, one at a time, of batches that are sorted by it."""
+    rows = (r for pdf in batches for r in _plain(pdf))
+    return (group for _, group in groupby(rows, key=lambda r: r[key]))
+
+
+def _frames(rows: Iterator[dict], names: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of a bounded size."""
+    rows = iter(rows)
+    while held := list(islice(rows, BATCH)):
+        yield _frame(held, names)
+
+
+def _in_order(df: DataFrame, key: str, *order) -> DataFrame:
+    """All rows of a key in one partition, sorted; Spark's sort spills, so no key has to fit into memory."""
+    return df.repartition(key).sortWithinPartitions(key, *order)
+
+
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     for r in rows:
         for k in ("apply_emails", "apply_phones", "details", "also_found_on", "relevance"):
@@ -277,12 +302,11 @@ def resolve(df: DataFrame, priority: list[str] = (), keep=None) -> DataFrame:
     counted = spread_join(rows, copies, "_url", "_order")
     single = counted.where("_n = 1").select(*COLUMNS, F.col("_first"), F.lit(0).cast("long").alias("_exact"))
 
-    def one_url(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = _plain(pdf.sort_values(["_order", "id"], ignore_index=True))
-        out = replay.by_url(records)
-        return _frame([{**out, "_first": records[0]["_order"], "_exact": len(records) - 1}], [*COLUMNS, "_first", "_exact"])
+    def copies_merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _frames((replay.by_url(g) for g in _groups(batches, "_url")), [*COLUMNS, "_first", "_exact"])
 
-    many = _pack(counted.where("_n > 1"), *KEYS, "_url").groupBy("_url").applyInPandas(one_url, f"{FLAT}, _first string, _exact long")
+    copied = _in_order(_pack(counted.where("_n > 1"), *KEYS, "_url"), "_url", "_order", F.asc_nulls_last("id"))
+    many = copied.mapInPandas(copies_merged, f"{FLAT}, _first string, _exact long")
     urls_done = keep(keys(channel(single.unionByName(_unpack(many, "_first", "_exact"))), priority).withColumn("_row", F.sha1("_url")))
 
     tokens = urls_done.select("_row", F.explode(F.array_compact(F.array("_reference", "_role", "_fingerprint"))).alias("key"))
@@ -293,16 +317,12 @@ def resolve(df: DataFrame, priority: list[str] = (), keep=None) -> DataFrame:
     zero = F.struct(F.col("_exact").alias("exact"), *[F.lit(0).cast("long").alias(k) for k in STAGES[1:]])
     alone = grouped.where("component is null").select(*COLUMNS, zero.alias("merged"))
 
-    def one_component(pdf: pd.DataFrame) -> pd.DataFrame:
-        records = _plain(pdf.sort_values(["_first", "_url"], ignore_index=True))
-        done = []
-        for r in records:
-            r["_exact"] = int(r["_exact"])
-        for out, n in replay.clusters(records):
-            done.append({**out, "_counts": json.dumps(n)})
-        return _frame(done, [*COLUMNS, "_counts"])
+    def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done = ({**out, "_counts": json.dumps(n)} for g in _groups(batches, "component") for out, n in replay.clusters(g))
+        return _frames(done, [*COLUMNS, "_counts"])
 
-    several = _pack(grouped.where("component is not null"), *KEYS, "_url", "_row", "_first", "_exact", "component").groupBy("component").applyInPandas(one_component, f"{FLAT}, _counts string")
+    linked = _in_order(_pack(grouped.where("component is not null"), *KEYS, "_url", "_row", "_first", "_exact", "component"), "component", "_first", "_url")
+    several = linked.mapInPandas(replayed, f"{FLAT}, _counts string")
     counts = F.from_json("_counts", "exact long, reference long, role long, fingerprint long")
     filled = F.struct(*[F.coalesce(counts[k], F.lit(0).cast("long")).alias(k) for k in STAGES])
     return channel(alone.unionByName(_unpack(several, "_counts").withColumn("merged", filled).drop("_counts")))

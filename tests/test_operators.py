@@ -101,6 +101,24 @@ def test_resolve_in_any_order(spark):
     assert totals.removed == 3 and totals.exact_removed == 1
 
 
+def test_copies_of_an_url_in_many_batches(spark):
+    """A hot url, read in batches of three rows and in any order of the input, gives one record in canonical order."""
+    many = [dict(id=f"h{k:02}", source="a" if k % 2 else "b", url="https://e.com/hot", title="IT Officer", company="Org", gender=f"g{k}" if k in (7, 9) else None, description=f"d{k}" if k == 4 else None) for k in range(20)]
+    rest = [dict(id=f"c{k}", source="a", url=f"https://e.com/{k % 4}", title=f"Role {k % 4}", location="Kabul") for k in range(8)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        seen = []
+        for rows in (many + rest, (many + rest)[::-1]):
+            out = resolve.resolve(normalize(raw(spark, *rows), NOW), ["a"]).orderBy("url").collect()
+            seen.append([(r.url, r.gender, r.description, r.merged.exact) for r in out])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert seen[0] == seen[1] and [(u, n) for u, _, _, n in seen[0]] == [*[(f"https://e.com/{k}", 1) for k in range(4)], ("https://e.com/hot", 19)]
+    # the first of them in canonical order is h01; the fields it lacks come from the next ones that have them
+    assert seen[0][4][1:3] == ("g7", "d4")
+
+
 def test_search(spark):
     rows = [("1", "Web Developer", "Zed", "Kabul; Herat, Afghanistan", "2026-03-03", "2026-02-28", "2", "500 USD monthly", None), ("2", "Network Engineer", "acme", "Kabul", None, None, "12", "900 USD monthly", None), ("3", "Clerk", "Acme ", "Balkh", "2026-02-20", "2026-02-27", None, "N/A", None), ("4", "Clerk", None, None, "2026-03-01", "2026-01-01", "one", "as per scale", "expired")]
     df = spark.createDataFrame(rows, "id string, title string, company string, location string, closing_date string, post_date string, vacancies string, salary string, status string")
