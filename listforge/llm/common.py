@@ -1,13 +1,9 @@
-"""Shared helpers: tables in the shared folder, text chunks, vectorised word hashing."""
+"""Shared helpers: tables, text chunks, vectorised word hashing."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,42 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stored import drop_path, save, shared_dir  # noqa: F401  operators take these from here
+
 #: Word of the shared contracts: maximal run of anything but these six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only in local runs, where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if at.isDefined():
-            return at.get()
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="listforge-")
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may be gone at exit; the folder then goes with the cluster's own cleaning
-        pass
-
-
-def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(drop_path, spark, path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

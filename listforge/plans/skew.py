@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which the one-row-a-key side is broadcast; pieces that a key is dealt into beyond that.
 SMALL, PIECES = 500_000, 32
+#: A key is hot if it has more rows than this, and more than one in so many of all rows: there are fewer such keys.
+HOT_ROWS, HOT_SHARE = 100, 256
 
 
 def bounded(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -26,3 +28,25 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, how:
     dealt = rows.withColumn("_piece", F.pmod(F.xxhash64(spread), F.lit(pieces)).cast("int"))
     copied = lookup.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     return dealt.join(copied, [key, "_piece"], how).drop("_piece")
+
+
+def hot_keys(counts: DataFrame, key: str) -> tuple[int, DataFrame | None]:
+    """The rows of ``counts`` (a key's number of rows as ``n``), and (key) of its hot keys, fewer than HOT_SHARE, or None."""
+    c = counts.agg(F.count("*").alias("keys"), F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    least = max(HOT_ROWS, (c.rows or 0) // HOT_SHARE)
+    return c.keys, counts.where(F.col("n") > least).select(F.col(key).alias("_key")) if (c.most or 0) > least else None
+
+
+def hot_join(rows: DataFrame, lookup: DataFrame, key: str, few: bool, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``lookup``, which has one row a key, on the column ``key``; ``how`` is "inner" or "left".
+
+    A lookup of few rows is broadcast.  Of a larger one only the rows of the ``hot`` keys are, so that the rows of these
+    stay where they are; all others are dealt by key, once.  ``rows`` is read three times where there are hot keys.
+    """
+    if few:
+        return rows.join(F.broadcast(lookup), key, how)
+    if hot is None:
+        return rows.join(lookup.hint("merge"), key, how)
+    keys = F.broadcast(hot.select(F.col("_key").alias(key)))
+    rest = rows.join(keys, key, "left_anti").join(lookup.hint("merge"), key, how)
+    return rest.unionByName(rows.join(keys, key, "left_semi").join(F.broadcast(lookup.join(keys, key, "left_semi")), key, how))
